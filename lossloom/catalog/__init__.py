@@ -2,7 +2,7 @@
 
 
 def queries():
-    from lossloom.catalog import core_queries  # noqa: F401
+    from lossloom.catalog import batch_queries, core_queries, source_queries, text_queries  # noqa: F401
     from lossloom.catalog.registry import QUERIES
 
     return dict(QUERIES)
@@ -12,4 +12,6 @@ def oracles():
     queries()
     from lossloom.catalog.registry import ORACLES
 
-    return dict(ORACLES)
+    from lossloom.catalog.sql import query
+
+    return {name: query(sql) for name, sql in ORACLES.items()}

@@ -13,6 +13,10 @@ from lossloom.operators.examples import normalize_example
 from lossloom.operators.health import round_losses
 from lossloom.operators.ledger import generated_only
 from lossloom.operators.ranking import number_rows, top_n
+from lossloom.plans.workspace import settle
+
+
+_SETTLED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -22,6 +26,13 @@ class Tables:
         self.spark = spark
         self.dir = sf_dir
 
+    def once(self, name: str, build) -> DataFrame:
+        """A derived input that several operands of a query share: written once per session."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _SETTLED:
+            _SETTLED[key] = settle(build())
+        return _SETTLED[key]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -95,6 +106,9 @@ class Tables:
         )
 
     def rounds(self) -> DataFrame:
+        return self.once("rounds", self._rounds)
+
+    def _rounds(self) -> DataFrame:
         """The last round in the ledger, about to be closed."""
         return self.ledger().groupBy("section_id").agg(F.max("round_id").alias("current_round"))
 
@@ -102,6 +116,9 @@ class Tables:
         return self.rounds().withColumn("current_round", F.col("current_round") + 1)
 
     def vault(self) -> DataFrame:
+        return self.once("vault", self._vault)
+
+    def _vault(self) -> DataFrame:
         """A vault as the round before left it: the worst earlier rows, with varied lifecycles."""
         n = F.col("ledger_id")
         count = (n % 3).cast("int")
@@ -125,6 +142,9 @@ class Tables:
         )
 
     def recycled_evaluations(self) -> DataFrame:
+        return self.once("recycled_evaluations", self._recycled_evaluations)
+
+    def _recycled_evaluations(self) -> DataFrame:
         """Evaluations of the closing round, some pointing at vault rows (one of them twice)."""
         again = self.vault().join(self.rounds(), "section_id")
         columns = lambda pos, slot, factor: again.where(F.col("pos") % 3 == pos).select(
@@ -136,12 +156,18 @@ class Tables:
         return columns(0, 1, 0.5).unionByName(columns(0, 2, 0.2)).unionByName(columns(1, 1, 0.9))
 
     def round_losses(self) -> DataFrame:
+        return self.once("round_losses", self._round_losses)
+
+    def _round_losses(self) -> DataFrame:
         """Average loss per round as decision loss; some checkpoints are incomplete."""
         return round_losses(self.ledger()).withColumn(
             "complete", (F.col("round_id") + F.substring("section_id", 9, 3).cast("int")) % 5 != 4
         )
 
     def state_counts(self) -> DataFrame:
+        return self.once("state_counts", self._state_counts)
+
+    def _state_counts(self) -> DataFrame:
         """Remembered tag counts: behind the ledger for some tags, ahead for others, one unseen."""
         seen = self.ledger().groupBy("section_id", "tag").agg(F.count("*").alias("n"))
         bent = seen.select(

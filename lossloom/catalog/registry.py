@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.catalog.adapters import Tables
-from lossloom.catalog.sql import query as with_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +19,7 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         raise ValueError(f"query {name} is registered twice")
     QUERIES[name] = lambda spark, sf_dir: rounded(build(Tables(spark, sf_dir)))
     if sql is not None:
-        ORACLES[name] = with_parts(sql)
+        ORACLES[name] = sql
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -111,14 +111,19 @@ def shape_profile(df: DataFrame, *keys: str, pos: str, source: str, fallback_mod
     group never meets in one task; ``pos`` orders records and decides ties by first occurrence.
     """
     keys = list(keys)
-    shaped = classify_shape(coalesce_fields(df)).select(*keys, pos, "shape_id", "evidence")
+    # One pass over the text: rows collapse to the few (shape, evidence) combinations that occur.
+    shaped = (
+        classify_shape(coalesce_fields(df))
+        .groupBy(*keys, "shape_id", "evidence")
+        .agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"))
+    )
     per_shape = shaped.groupBy(*keys, "shape_id").agg(
-        F.count("*").alias("n"), F.min(pos).alias("first_pos")
+        F.sum("n").alias("n"), F.min("first_pos").alias("first_pos")
     )
     per_signal = (
-        shaped.select(*keys, pos, F.posexplode("evidence").alias("i", "signal"))
+        shaped.select(*keys, "n", "first_pos", F.posexplode("evidence").alias("i", "signal"))
         .groupBy(*keys, "signal")
-        .agg(F.count("*").alias("n"), F.min(F.struct(pos, "i")).alias("first_pos"))
+        .agg(F.sum("n").alias("n"), F.min(F.struct("first_pos", "i")).alias("first_pos"))
     )
     # At most five shapes and a few dozen signals exist, so these lists are small by construction.
     shapes = per_shape.groupBy(*keys).agg(

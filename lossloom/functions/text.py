@@ -210,22 +210,27 @@ def structured_score(c: Column | str) -> Column:
 
 
 def is_question(c: Column | str) -> Column:
-    # A question shows at the start of the text, so only the opening word is matched by pattern;
-    # the question mark is looked for in the first 220 characters of the squeezed text.
-    text = squeeze(F.coalesce(_col(c), F.lit("")))
+    """A question mark in the first 220 characters of the squeezed text, or a question word first.
+
+    Both tests touch only the start of the text: the opening word is anchored, and only what stands
+    before the first question mark is squeezed to see how far in it is.
+    """
+    text = F.coalesce(_col(c), F.lit(""))
     starts = "|".join(fx.QUESTION_STARTS)
-    return F.substring(text, 1, fx.QUESTION_MARK_WINDOW).contains("?") | text.rlike(
-        rf"(?i)\A(?:{starts})(?![\p{{L}}\p{{N}}_])"
+    before = F.ltrim(F.regexp_replace(F.substring_index(text, "?", 1), rf"{SPACE}+", " "))
+    return text.rlike(rf"(?i)\A{SPACE}*(?:{starts})(?![\p{{L}}\p{{N}}_])") | (
+        text.contains("?") & (F.length(before) < fx.QUESTION_MARK_WINDOW)
     )
 
 
 def has_context(sample: Column | str, instruct: Column | str) -> Column:
+    """A context marker in either text, or a long sample with a question as instruction."""
     s, i = F.coalesce(_col(sample), F.lit("")), F.coalesce(_col(instruct), F.lit(""))
-    joined = F.lower(F.concat_ws("\n", blank_to_null(s), blank_to_null(i)))
+    lower_s, lower_i = F.lower(s), F.lower(i)
     marked = F.lit(False)
     for marker in fx.CONTEXT_MARKERS:
-        marked = marked | joined.contains(marker)
-    return marked | ((word_count(s) >= fx.CONTEXT_MIN_WORDS) & is_question(i))
+        marked = marked | lower_s.contains(marker) | lower_i.contains(marker)
+    return marked | (is_question(i) & (word_count(s) >= fx.CONTEXT_MIN_WORDS))
 
 
 def is_meta_instruction(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lossloom import fixed_values as fx
@@ -227,7 +228,7 @@ def _close_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of the pairs that survive the exact filters (a few per distinct new tag)."""
     return pd.Series(
@@ -514,7 +515,5 @@ def answer_requests(requests: DataFrame, generate) -> DataFrame:
 
     ``generate`` takes and yields pandas frames (``mapInPandas``) and adds a ``response`` column.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([f for f in requests.schema if f.name != "response"]).add("response", "string")
     return requests.mapInPandas(generate, schema)

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from lossloom.functions import text as tx
 from lossloom.params import DEFAULTS, Params
 
-_BY_ROUND = Window.partitionBy("section_id").orderBy("round_id")
+
+def _by_round():
+    return Window.partitionBy("section_id").orderBy("round_id")
 
 
 def round_losses(ledger: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def round_losses(ledger: DataFrame) -> DataFrame:
 
 def running_best(rounds: DataFrame, loss: str = "decision_loss") -> DataFrame:
     """Smallest loss so far and the round it was first seen in."""
-    upto = _BY_ROUND.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = _by_round().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rounds.withColumns(
         {
             "best_so_far": F.min(loss).over(upto),
@@ -40,7 +42,7 @@ def running_best(rounds: DataFrame, loss: str = "decision_loss") -> DataFrame:
 
 def improvement(rounds: DataFrame, loss: str = "decision_loss") -> DataFrame:
     """Relative gain over the previous scored round; null without a positive previous loss."""
-    prev = F.lag(loss).over(_BY_ROUND)
+    prev = F.lag(loss).over(_by_round())
     return rounds.where(F.col(loss).isNotNull()).withColumn(
         "improvement", F.when(prev > 0, (prev - F.col(loss)) / prev)
     )
@@ -52,7 +54,7 @@ def rollback_target(rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     The lowest loss wins, the later round on ties; without any scored round, the latest complete
     one. A range frame over rounds does the lookback join.
     """
-    back = _BY_ROUND.rangeBetween(-p.rollback_lookback, -1)
+    back = _by_round().rangeBetween(-p.rollback_lookback, -1)
     scored = F.min(
         F.when(
             F.col("complete") & F.col("decision_loss").isNotNull(),
@@ -151,7 +153,7 @@ def latest_health(health: DataFrame) -> DataFrame:
 
 def plateau_score(health: DataFrame) -> DataFrame:
     """Validation-plateau score as it stood after each health event."""
-    recent = _BY_ROUND.rowsBetween(-2, Window.currentRow)
+    recent = _by_round().rowsBetween(-2, Window.currentRow)
     since = F.col("round_id") + 1 - F.col("best_round_id")
     degraded = F.count_if(F.col("action").isin("degraded", "rollback_next")).over(recent)
     score = (
@@ -160,7 +162,7 @@ def plateau_score(health: DataFrame) -> DataFrame:
         + F.when(degraded >= 1, 0.25).otherwise(0.0)
         + F.when((F.col("action") == "stable") & (since != 0), 0.10).otherwise(0.0)
     )
-    seen = F.row_number().over(_BY_ROUND)
+    seen = F.row_number().over(_by_round())
     return health.select(
         "section_id", "round_id", since.alias("rounds_since_best"), degraded.alias("recent_degraded"),
         F.when(seen < 2, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score)).alias("validation_plateau"),

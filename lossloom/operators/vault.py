@@ -210,11 +210,12 @@ def round_candidates(
     allowed = top.join(thresholds.select("section_id", "minimum_entry_loss"), "section_id").where(
         (F.col("loss") >= F.col("minimum_entry_loss")) | exempt
     )
-    fresh = allowed.join(vault.select("section_id", "ledger_id"), ["section_id", "ledger_id"], "left_anti")
-    ranked = top_n(fresh, ["section_id"], by_loss, k, "cand_rank")
-    seen = allowed.join(vault.select("section_id", "ledger_id"), ["section_id", "ledger_id"], "left_semi")
-    return to_vault_items(seen, vault).withColumn("cand_rank", F.lit(None).cast("int")).unionByName(
-        to_vault_items(ranked, keep=("cand_rank",))
+    items = to_vault_items(allowed, vault, keep=("_rn",)).withColumn("_known", F.col("pos").isNotNull())
+    place = F.row_number().over(Window.partitionBy("section_id", "_known").orderBy("_rn"))
+    return (
+        items.withColumn("cand_rank", F.when(~F.col("_known"), place))
+        .where(F.col("_known") | (F.col("cand_rank") <= k))
+        .drop("_rn", "_known")
     )
 
 
@@ -225,21 +226,24 @@ def admit(vault: DataFrame, candidates: DataFrame, rounds: DataFrame, p: Params
     candidates come in falling priority. Ties keep the incumbent; among incumbents the later
     position stays. Rows leave with their ``keep_rank``.
     """
-    refreshed = candidates.where(F.col("cand_rank").isNull()).drop("cand_rank")
-    untouched = vault.join(refreshed.select("section_id", "ledger_id"), ["section_id", "ledger_id"], "left_anti")
-    names = schemas.columns(schemas.VAULT)
-    incumbents = untouched.select(*names).unionByName(refreshed.select(*names)).withColumn(
-        "cand_rank", F.lit(None).cast("int")
-    )
+    none = F.lit(None).cast("int")
+    both = vault.select(*schemas.columns(schemas.VAULT)).withColumns(
+        {"cand_rank": none, "_old": F.lit(1)}
+    ).unionByName(candidates.withColumn("_old", F.lit(0)))
+    # a candidate already in the vault (no rank of its own) replaces its row there
+    newest = Window.partitionBy("section_id", "ledger_id").orderBy("_old")
     pool = (
-        incumbents.unionByName(candidates.where(F.col("cand_rank").isNotNull()))
-        .join(rounds.select("section_id", (F.col("current_round") + 1).alias("_next")), "section_id")
+        both.join(rounds.select("section_id", (F.col("current_round") + 1).alias("_next")), "section_id")
+        .withColumn("_copy", F.row_number().over(newest))
+        .where(F.col("_copy") == 1)
         .withColumn("_prio", keep_priority("_next", p))
     )
     order = [
         F.col("_prio").desc(), F.col("cand_rank").asc_nulls_first(), F.col("pos").desc_nulls_last(),
     ]
-    return top_n(pool, ["section_id"], order, p.vault_size, "keep_rank").drop("_prio", "_next", "cand_rank")
+    return top_n(pool, ["section_id"], order, p.vault_size, "keep_rank").drop(
+        "_prio", "_next", "cand_rank", "_old", "_copy"
+    )
 
 
 def refill(
@@ -250,37 +254,28 @@ def refill(
     Refill rows push out as many lowest-priority rows as overflow. A row pushed out is not taken
     back within the same pass.
     """
-    nxt = rounds.select("section_id", (F.col("current_round") + 1).alias("_next"))
-    usable = (
-        admitted.join(nxt, "section_id")
-        .groupBy("section_id")
-        .agg(F.count_if(vault_status("_next", p) == "usable").alias("_usable"))
-    )
-    need = rounds.select("section_id").join(usable, "section_id", "left").select(
-        "section_id",
-        F.greatest(F.lit(0), F.lit(p.vault_min_usable) - F.coalesce("_usable", F.lit(0))).alias("_need"),
-    ).where(F.col("_need") > 0)
     order = [F.col("loss").desc(), F.col("round_id").desc(), F.col("ledger_id")]
     recent = top_n(
         recent_generated(ledger, rounds, p).select(*_LEDGER_COLS), ["section_id"], order,
         p.vault_size + p.vault_min_usable, "_rn",
     )
-    added = (
-        top_n(
-            recent.join(admitted.select("section_id", "ledger_id"), ["section_id", "ledger_id"], "left_anti"),
-            ["section_id"], order, p.vault_min_usable, "_rn",
-        )
-        .join(need, "section_id")
-        .where(F.col("_rn") <= F.col("_need"))
-        .drop("_rn", "_need")
+    section, same = Window.partitionBy("section_id"), Window.partitionBy("section_id", "ledger_id")
+    held = F.col("keep_rank").isNotNull()
+    pool = (
+        admitted.withColumn("_rn", F.lit(None).cast("int"))
+        .unionByName(to_vault_items(recent, keep=("_rn",)).withColumn("keep_rank", F.lit(None).cast("int")))
+        .join(rounds.select("section_id", (F.col("current_round") + 1).alias("_next")), "section_id")
     )
-    room = added.groupBy("section_id").agg((F.lit(p.vault_size) - F.count("*")).alias("_room"))
-    kept = (
-        admitted.join(room, "section_id", "left")
-        .where(F.col("keep_rank") <= F.coalesce("_room", F.lit(p.vault_size)))
-        .drop("_room", "keep_rank")
+    usable = F.count_if(held & (vault_status("_next", p) == "usable")).over(section)
+    judged = pool.withColumns(
+        {"_need": F.lit(p.vault_min_usable) - usable, "_spare": ~held & ~F.max(held).over(same)}
     )
-    return kept.unionByName(to_vault_items(added))
+    place = F.row_number().over(section.orderBy(F.col("_spare").desc(), F.col("_rn")))
+    added = judged.withColumn("_added", F.col("_spare") & (place <= F.col("_need")))
+    room = F.lit(p.vault_size) - F.count_if("_added").over(section)
+    return added.withColumn("_room", room).where(
+        F.col("_added") | (held & (F.col("keep_rank") <= F.col("_room")))
+    ).select(*schemas.columns(schemas.VAULT))
 
 
 def build_vault(
