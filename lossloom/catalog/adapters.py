@@ -171,7 +171,7 @@ class Tables:
         """Remembered tag counts: behind the ledger for some tags, ahead for others, one unseen."""
         seen = self.ledger().groupBy("section_id", "tag").agg(F.count("*").alias("n"))
         bent = seen.select(
-            "section_id", "tag", F.when(F.length("tag") % 2 == 0, F.col("n") + 5).otherwise(F.floor(F.col("n") / 2)).alias("n")
+            "section_id", "tag", F.when((F.col("tag") == "view") & (F.substring("section_id", 9, 3).cast("int") % 2 == 0), F.col("n") * 4).when(F.length("tag") % 2 == 0, F.col("n") + 5).otherwise(F.floor(F.col("n") / 2)).alias("n")
         )
         extra = seen.select("section_id").distinct().select(
             "section_id", F.lit("Rare-Kind").alias("tag"), F.lit(2).cast("bigint").alias("n")

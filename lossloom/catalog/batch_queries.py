@@ -182,14 +182,15 @@ def _profile(t: Tables):
 register(
     "shape_gap_score",
     lambda t: po.shape_gap_score(
-        t.ledger().withColumn("tag", F.when(F.col("ledger_id") % 8 == 0, "Wide Variety").when(F.col("ledger_id") % 9 == 0, "Generic-Text Task").otherwise(F.col("tag"))),
+        t.ledger().withColumn("tag", F.when(F.col("ledger_id") % 8 == 0, "Reading Comprehension").when(F.col("ledger_id") % 9 == 0, "Structured-Text Task").otherwise(F.col("tag"))),
         _profile(t),
     ),
     """SELECT f.section_id, f.shape_id, f.confidence, total AS generated_count, m AS matching_count, round(m / total, 6) AS matching_share,
        round(CASE WHEN confidence < 0.5 THEN 0 WHEN m / total < 0.15 THEN least(1.0, 0.55 + confidence * 0.45::DOUBLE)
          WHEN m / total < 0.2625 THEN 0.45 ELSE 0 END::DOUBLE, 6) AS shape_gap
-       FROM profiles f JOIN (SELECT section_id, count(*) AS total, count(*) FILTER (WHERE ledger_id % 8 <> 0 AND ledger_id % 9 = 0) AS m
-       FROM gen GROUP BY 1) USING (section_id)""",
+       FROM (SELECT p.*, total, CASE shape_id WHEN 'contextual_qa' THEN c WHEN 'structured_text_task' THEN s ELSE 0 END AS m FROM profiles p JOIN
+         (SELECT section_id, count(*) AS total, count(*) FILTER (WHERE ledger_id % 8 = 0) AS c, count(*) FILTER (WHERE ledger_id % 8 <> 0 AND ledger_id % 9 = 0) AS s
+          FROM gen GROUP BY 1) USING (section_id)) f""",
 )
 
 # --- examples ---------------------------------------------------------------------------------
@@ -627,9 +628,10 @@ register(
 )
 register(
     "strip_fences",
-    lambda t: _responses(t).select("section_id", F.md5(tx.strip_fences("response")).alias("bare"), F.md5(tx.salvage_json(tx.strip_fences("response"))).alias("saved"),
-                                   tx.parse_response("response")["error"].isNotNull().alias("failed")),
-    None,
+    lambda t: tx.parse_response(_responses(t), "response").select(
+        F.regexp_extract("section_id", "_([0-9]+)", 1).cast("bigint").alias("conv_id"), F.substring("payload", 1, 1).alias("first"), F.col("error").isNotNull().alias("failed")
+    ),
+    "SELECT DISTINCT conv_id, CASE conv_id % 7 WHEN 2 THEN '{' WHEN 3 THEN 'H' ELSE '[' END AS first, conv_id % 7 = 4 AS failed FROM pairs",
 )
 
 
@@ -689,7 +691,7 @@ register(
     lambda t: bt.accept_diverse(
         _slotted(t), counts(t), t.ledger().select("section_id", "round_id", F.lit("error").alias("tag")).distinct()
     ).select("section_id", "round_id", "slot_id", "tag", "accepted", "reject_reason"),
-    f"""WITH RECURSIVE f AS (
+    f"""SELECT * FROM (WITH RECURSIVE f AS (
         SELECT s.section_id, s.round_id, s.slot_id, s.tag, s.step, {_START} AS reject_reason,
                CASE WHEN ({_START}) IS NULL THEN ['error', s.tag] ELSE ['error'] END AS seen, CASE WHEN ({_START}) IS NULL THEN 1 ELSE 0 END AS added
         FROM slot_steps s WHERE s.step = 1
@@ -697,7 +699,7 @@ register(
         SELECT s.section_id, s.round_id, s.slot_id, s.tag, s.step, {_NEXT},
                CASE WHEN ({_NEXT}) IS NULL THEN list_append(f.seen, s.tag) ELSE f.seen END, f.added + CASE WHEN ({_NEXT}) IS NULL THEN 1 ELSE 0 END
         FROM f JOIN slot_steps s ON s.section_id = f.section_id AND s.round_id = f.round_id AND s.step = f.step + 1)
-        SELECT section_id, round_id, slot_id, tag, reject_reason IS NULL AS accepted, reject_reason FROM f""",
+        SELECT section_id, round_id, slot_id, tag, reject_reason IS NULL AS accepted, reject_reason FROM f)""",
 )
 
 # --- pool -------------------------------------------------------------------------------------

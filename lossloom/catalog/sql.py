@@ -309,7 +309,8 @@ PARTS: dict[str, str] = {
                flatten(list(list_resize(CAST([] AS VARCHAR[]), slots, tag) ORDER BY metric_rank))) AS plan
         FROM allocated GROUP BY 1""",
     "state_counts": """
-        SELECT section_id, tag, CASE WHEN length(tag) % 2 = 0 THEN count(*) + 5 ELSE count(*) // 2 END AS n
+        SELECT section_id, tag, CASE WHEN tag = 'view' AND CAST(substr(section_id, 9, 3) AS INTEGER) % 2 = 0 THEN count(*) * 4
+               WHEN length(tag) % 2 = 0 THEN count(*) + 5 ELSE count(*) // 2 END AS n
         FROM ledger GROUP BY section_id, tag
         UNION ALL SELECT DISTINCT section_id, 'Rare-Kind', 2 FROM ledger""",
     "sync_counts": """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossloom import fixed_values as fx
@@ -245,8 +245,8 @@ def is_meta_instruction(c: Column | str) -> Column:
 
 
 def strip_fences(c: Column | str) -> Column:
-    """Drop a Markdown code fence around a payload; an unclosed fence loses only its first line."""
-    text = strip(c)
+    """Drop a Markdown code fence around stripped text; an unclosed fence loses its first line."""
+    text = _col(c)
     inner = strip(F.regexp_extract(text, rf"(?is)\A```(?:json)?{SPACE}*(.*?){SPACE}*```\z", 1))
     fenced = text.rlike(rf"(?is)\A```(?:json)?{SPACE}*(.*?){SPACE}*```\z")
     body = F.regexp_replace(text, r"\A[^\n]*(\n|\z)", "")
@@ -280,18 +280,22 @@ def strict_json(c: Column | str) -> Column:
     return F.when(single, F.try_variant_get(listed, "$[0]", "variant"))
 
 
-def parse_response(c: Column | str) -> Column:
-    """Struct ``(value VARIANT, error STRING)``: the payload parsed whole, else salvaged."""
-    payload = strip_fences(c)
-    value = F.coalesce(strict_json(payload), strict_json(salvage_json(payload)))
-    error = F.when(
-        value.isNull(),
-        F.concat(
-            F.lit("invalid_json: "),
-            F.replace(F.substring(payload, 1, 500), F.lit("\n"), F.lit("\\n")),
-        ),
+def parse_response(df: DataFrame, col: str) -> DataFrame:
+    """Add ``payload``, ``value`` (VARIANT) and ``error``: text parsed whole, else salvaged.
+
+    Works in stages so that each text is computed once, however often the next stage names it.
+    """
+    staged = (
+        df.withColumn("payload", strip(col))
+        .withColumn("payload", strip_fences("payload"))
+        .withColumn("_saved", salvage_json("payload"))
+        .withColumn("value", F.coalesce(strict_json("payload"), strict_json("_saved")))
+    )
+    error = F.concat(
+        F.lit("invalid_json: "),
+        F.replace(F.substring("payload", 1, 500), F.lit("\n"), F.lit("\\n")),
     )
-    return F.struct(value.alias("value"), error.alias("error"))
+    return staged.withColumn("error", F.when(F.col("value").isNull(), error)).drop("_saved")
 
 
 # --- prompts ----------------------------------------------------------------------------------

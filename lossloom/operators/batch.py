@@ -93,39 +93,40 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     slots = items.groupBy(*keys).agg(  # a recipe's worth of slots
         F.array_sort(F.collect_list(F.struct("generation_index", "slot_id", "tag"))).alias("_items")
     )
-    parsed = raw.withColumn("_p", tx.parse_response("response"))
-    value = F.col("_p.value")
     as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     filled = lambda v: F.when(F.size(v) > 0, v)
-    wrapped = F.coalesce(
-        filled(as_list(F.try_variant_get(value, "$.samples", "variant"))),
-        as_list(F.try_variant_get(value, "$.items", "variant")),
-    )
-    single = F.try_variant_get(value, "$.sample", "variant").isNotNull()
+    parsed = tx.parse_response(raw, "response").withColumns(
+        {
+            "_object": F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False)),
+            "_samples": as_list(F.try_variant_get("value", "$.samples", "variant")),
+            "_listed": as_list(F.try_variant_get("value", "$.items", "variant")),
+            "_single": F.try_variant_get("value", "$.sample", "variant").isNotNull(),
+        }
+    )
+    wrapped = F.coalesce(filled(F.col("_samples")), F.col("_listed"))
     rows = (
-        F.when(is_object & wrapped.isNotNull(), wrapped)
-        .when(is_object & single, F.array(value))
-        .when(~is_object, as_list(value))
+        F.when(F.col("_object") & wrapped.isNotNull(), wrapped)
+        .when(F.col("_object") & F.col("_single"), F.array("value"))
+        .when(~F.col("_object"), as_list(F.col("value")))
     )
     listed = parsed.withColumn("_rows", rows)
-    broken = listed.where(F.col("_rows").isNull()).select(
-        *keys, F.lit(None).cast("int").alias("slot_id"), F.lit(None).cast("int").alias("row_index"),
-        F.coalesce(
-            F.when(F.col("_p.error").isNotNull(), F.lit("invalid_json")), F.lit("not_a_list")
-        ).alias("reason"),
-        F.coalesce("_p.error", F.substring("response", 1, 500)).alias("detail"),
+    # Outer explode: a response without rows stays as one row and is judged with the others, so no
+    # filter sits above the parsing stages (the optimizer would copy the parsing into it).
+    elements = listed.select(
+        *keys, "error", F.col("_rows").isNull().alias("_broken"), "payload",
+        F.posexplode_outer("_rows").alias("row_index", "_e"),
     )
-    elements = listed.where(F.col("_rows").isNotNull()).select(*keys, F.posexplode("_rows").alias("row_index", "_e"))
 
     def text(name: str) -> Column:
         return F.try_variant_get("_e", f"$.{name}", "string")
 
     at = F.get("_items", F.col("row_index"))
     fields = elements.join(slots, keys, "left").select(
-        *keys, "row_index", "_items",
+        *keys, "row_index", "_items", "error", "_broken", "payload",
         F.schema_of_variant("_e").startswith("OBJECT").alias("_object"),
-        F.coalesce(text("slot_id"), at["slot_id"].cast("string")).alias("_slot"),
+        F.when(
+            F.col("row_index").isNotNull(), F.coalesce(text("slot_id"), at["slot_id"].cast("string"))
+        ).alias("_slot"),
         tx.strip(text("sample")).alias("sample"),
         tx.strip(text("instruct")).alias("instruct"),
         F.coalesce(*[tx.blank_to_null(text(n)) for n in ("gold_summary", "summary", "output")]).alias("gold_summary"),
@@ -133,9 +134,11 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     ).withColumn("slot_id", tx.strip("_slot").try_cast("int"))
     own = F.get(F.filter("_items", lambda x: x["slot_id"] == F.col("slot_id")), F.lit(0))
     known = fields.withColumn("_item", own)
-    last = Window.partitionBy(*keys, "slot_id").orderBy(F.col("row_index").desc())
     reason = (
-        F.when(~F.coalesce("_object", F.lit(False)), "not_an_object")
+        F.when(F.col("_broken") & F.col("error").isNotNull(), "invalid_json")
+        .when(F.col("_broken"), "not_a_list")
+        .when(F.col("row_index").isNull(), "empty_list")
+        .when(~F.coalesce("_object", F.lit(False)), "not_an_object")
         .when(F.col("slot_id").isNull(), "no_numeric_slot_id")
         .when(F.col("_item").isNull(), "unknown_slot_id")
         .when(F.col("sample").isNull(), "missing_sample")
@@ -143,20 +146,22 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
         .when(tx.is_meta_instruction("instruct"), "meta_instruction")
         .when(tx.is_meta_instruction("sample"), "meta_sample")
         .when(tx.is_blank("gold_summary"), "missing_gold")
+        .otherwise("")
     )
-    judged = known.withColumn("reason", reason)
-    valid = judged.where(F.col("reason").isNull()).withColumn("_rn", F.row_number().over(last))
-    good = valid.where(F.col("_rn") == 1).select(
+    # The window also keeps the checks from being copied into every filter below.
+    last = Window.partitionBy(*keys, "slot_id", "reason").orderBy(F.col("row_index").desc())
+    judged = known.withColumn("reason", reason).withColumn("_rn", F.row_number().over(last))
+    good = judged.where((F.col("reason") == "") & (F.col("_rn") == 1)).select(
         *keys, "slot_id", "sample", "instruct", "gold_summary",
         F.coalesce("_tag", "_item.tag").alias("tag"), F.lit("generated").alias("source"),
         F.lit(None).cast("bigint").alias("source_ledger_id"),
     )
-    shown = F.substring("sample", 1, 240).alias("detail")
-    rejected = judged.where(F.col("reason").isNotNull()).select(*keys, "slot_id", "row_index", "reason", shown)
-    doubled = valid.where(F.col("_rn") > 1).select(
-        *keys, "slot_id", "row_index", F.lit("duplicate_slot_id").alias("reason"), shown
+    rejected = judged.where((F.col("reason") != "") | (F.col("_rn") > 1)).select(
+        *keys, "slot_id", "row_index",
+        F.when(F.col("reason") == "", "duplicate_slot_id").otherwise(F.col("reason")).alias("reason"),
+        F.coalesce("error", F.substring(F.coalesce("sample", "payload"), 1, 240)).alias("detail"),
     )
-    return good, broken.unionByName(rejected).unionByName(doubled)
+    return good, rejected
 
 
 # --- tag vocabulary ---------------------------------------------------------------------------
