@@ -2,7 +2,13 @@
 
 
 def queries():
-    from lossloom.catalog import batch_queries, core_queries, source_queries, text_queries  # noqa: F401
+    from lossloom.catalog import (  # noqa: F401
+        batch_queries,
+        core_queries,
+        loop_queries,
+        source_queries,
+        text_queries,
+    )
     from lossloom.catalog.registry import QUERIES
 
     return dict(QUERIES)
