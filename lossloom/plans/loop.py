@@ -20,7 +20,7 @@ from lossloom.operators import ledger as lg
 from lossloom.operators import policy as po
 from lossloom.operators import vault as vt
 from lossloom.params import DEFAULTS, Params
-from lossloom.plans.workspace import path_exists
+from lossloom.plans.workspace import path_exists, settle
 from lossloom.sources.files import read_table
 
 _STATE = "section_id string, current_round int, consecutive_no_recycle int, recycled_ids array<bigint>"
@@ -91,7 +91,7 @@ def plan_recipe(
     if weakness is None:
         weakness = spark.createDataFrame([], "section_id string, rank int, tag string")
 
-    health = hl.round_health(history, p)
+    health = settle(hl.round_health(history, p))  # one row per round, read several times below
     latest = hl.latest_health(health)
     plateau = latest.select("section_id", "round_id").join(
         hl.plateau_score(health), ["section_id", "round_id"]
@@ -121,6 +121,7 @@ def plan_recipe(
         .join(modal, "section_id", "left")
         .withColumn("hard_focus_tag", po.hard_focus_tag("focus_tag", "most_problematic_category"))
     )
+    pressure = settle(pressure)  # one row per section
     gain = hl.improvement(history)
     weakness_input = (
         latest.select("section_id", "round_id", F.col("action").alias("latest_action"))
