@@ -121,7 +121,9 @@ def shape_profile(df: DataFrame, *keys: str, pos: str, source: str, fallback_mod
         F.sum("n").alias("n"), F.min("first_pos").alias("first_pos")
     )
     per_signal = (
-        shaped.select(*keys, "n", "first_pos", F.posexplode("evidence").alias("i", "signal"))
+        # outer, so that no filter on the evidence is pushed down into the text scan
+        shaped.select(*keys, "n", "first_pos", F.posexplode_outer("evidence").alias("i", "signal"))
+        .where(F.col("signal").isNotNull())
         .groupBy(*keys, "signal")
         .agg(F.sum("n").alias("n"), F.min(F.struct("first_pos", "i")).alias("first_pos"))
     )
