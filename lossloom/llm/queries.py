@@ -11,6 +11,30 @@ from lossloom.llm.common import table
 from lossloom.plans.workspace import scratch_table
 
 
+def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, counted and digested."""
+    from lossloom.llm.secrets import BASE_RULES, scan
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    kinds = [r.kind for r in BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(of(k) for k in kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
+def op4_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in packed sequences of 2048 ids."""
+    from lossloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to frame files and read back."""
     from lossloom.llm.token_frames import read_token_frames, write_token_frames
@@ -21,6 +45,8 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_automaton": op3_secret_automaton,
+    "op4_shortest_pack": op4_shortest_pack,
     "op6_token_frames": op6_token_frames,
 }
 ORACLES: dict[str, str] = {}

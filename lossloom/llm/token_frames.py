@@ -228,7 +228,7 @@ def read_token_frames(manifest: DataFrame, doc_ids: DataFrame | None = None) ->
                     if out:
                         yield _rows(pa, out)
 
-    spread = asked.repartition("shard")
+    spread = asked.repartition(max(1, manifest.count()))  # a small table, but each row is a file to read
     return spread.mapInArrow(read, READ)
 
 

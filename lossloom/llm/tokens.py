@@ -7,6 +7,7 @@ from array import array
 
 END_ID = 1  # closes every document
 _TAIL = b".,;:!?|*#%&$"  # never part of a contraction, so a word before it ends there
+_KEEP_CASE = (b"<|", b"\xcc", b"\xcd")  # a special token's name; combining marks, which are joined to letters before case is dropped
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -17,21 +18,18 @@ def default_vocabulary() -> str:
 
 
 class _Memory(dict):
-    """Ids of pieces between white space, as little-endian unsigned 32-bit; emptied when it is full."""
+    """Ids of pieces between white space, as little-endian unsigned 32-bit; when it is full, new pieces are not kept."""
 
     def __init__(self, tokenizer, limit: int):
         self.tokenizer, self.limit = tokenizer, limit
 
     def __missing__(self, piece: bytes) -> bytes:
         core = piece.rstrip(_TAIL)
-        if core and core != piece and core.decode("utf-8", "replace")[-1].isalpha():
+        if core and core != piece and (core[-1:].isalpha() or core[-1] > 127 and core.decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
             return self[core] + self[piece[len(core) :]]
-        if piece.isalpha() and not piece.islower():
-            return self[piece.lower()]
         ids = array("I", self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = ids
+        if len(self) < self.limit:
+            self[piece] = ids
         return ids
 
 
@@ -51,6 +49,8 @@ class WordEncoder:
 
     def ids(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not any(sign in text for sign in _KEEP_CASE):
+            text = text.lower()  # ASCII letters only; the tokenizer would do the same
         return b"".join(map(self.get, text.split()))
 
 
