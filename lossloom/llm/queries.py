@@ -8,9 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.llm.common import table
+from lossloom.llm.license_rules import licences, licences_sql
 from lossloom.plans.workspace import scratch_table
 
 
+def op1_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in all documents."""
+    return licences(table(spark, sf_dir, "documents"))
+
+
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    from lossloom.llm.spaced_seeds import passages
+
+    return passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("sign")
+
+
 def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, counted and digested."""
     from lossloom.llm.secrets import BASE_RULES, scan
@@ -35,6 +48,13 @@ def op4_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_sphere_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of at least 0.95."""
+    from lossloom.llm.sphere_caps import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to frame files and read back."""
     from lossloom.llm.token_frames import read_token_frames, write_token_frames
@@ -44,9 +64,20 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over four-word shingles at a similarity of 0.8."""
+    from lossloom.llm.hamming_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_rules": op1_licence_rules,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_secret_automaton": op3_secret_automaton,
     "op4_shortest_pack": op4_shortest_pack,
+    "op5_sphere_caps": op5_sphere_caps,
     "op6_token_frames": op6_token_frames,
+    "op10_hamming_minhash": op10_hamming_minhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licence_rules": licences_sql()}
