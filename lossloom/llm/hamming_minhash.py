@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lossloom.llm.common import byte_batches, byte_column, stage, text_or_empty
 from lossloom.llm.graph import components
@@ -152,3 +153,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = sketches.join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of docs: that of the smallest doc_id.
+
+    Rows without a doc_id and rows without words stay. Of rows that share a doc_id one stays, that with the smallest hash of
+    its text.
+    """
+    doc, other = F.col("doc_id").cast("long"), F.col("_named_doc_id")
+    found = near_duplicates(docs, words, percent)
+    gone = stage(found.where("not kept").select(F.col("doc_id").alias("_named_doc_id")).distinct(), "gone")  # its size is then known
+    left = docs.join(gone, doc == other, "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = stage(again.select(F.col("doc_id").alias("_named_doc_id")), "repeated")
+    if again.isEmpty():
+        return left
+    rank = Window.partitionBy(doc).orderBy(F.xxhash64(text_or_empty()), text_or_empty())
+    first = left.join(again, doc == other, "left_semi").withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
+    return left.join(again, doc == other, "left_anti").unionByName(first)

@@ -64,6 +64,47 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def derived_edits(docs: DataFrame) -> DataFrame:
+    """Three edits for every document, at places given by a hash: an insertion, a removal and a replacement."""
+
+    def place(k):
+        return F.pmod(F.xxhash64("doc_id", F.lit(k)), F.coalesce(F.length("text"), F.lit(0)) + 1)
+
+    kinds = [(0, " corrected note "), (12, ""), (5, "re, done. ")]
+    edits = [F.struct(F.lit(k).alias("edit_no"), place(k).alias("at"), F.lit(n).alias("remove"), F.lit(t).alias("insert")) for k, (n, t) in enumerate(kinds)]
+    return docs.select("doc_id", F.inline(F.array(*edits)))
+
+
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after edits."""
+    from lossloom.llm.edit_counts import apply_edits, count_trees
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = apply_edits(count_trees(docs), derived_edits(docs))
+    return edited.select("doc_id", "n_before", "n_edits", "n_encoded", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from two thirds of the labels."""
+    from lossloom.llm.toxicity import learn, score
+
+    def remainder(col):
+        return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(3))
+
+    docs = table(spark, sf_dir, "documents")
+    lexicon = learn(docs, table(spark, sf_dir, "labels").where(remainder("doc_id") != 1))
+    held_out = F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out")
+    return score(docs, lexicon).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned without labels."""
+    from lossloom.llm.weak_quality import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs))
+
+
 def op10_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over four-word shingles at a similarity of 0.8."""
     from lossloom.llm.hamming_minhash import near_duplicates
@@ -78,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shortest_pack": op4_shortest_pack,
     "op5_sphere_caps": op5_sphere_caps,
     "op6_token_frames": op6_token_frames,
+    "op7_edit_counts": op7_edit_counts,
+    "op8_toxicity": op8_toxicity,
+    "op9_weak_quality": op9_weak_quality,
     "op10_hamming_minhash": op10_hamming_minhash,
 }
 ORACLES: dict[str, str] = {"op1_licence_rules": licences_sql()}

@@ -173,6 +173,7 @@ def _compare(min_words: int, percent: int):
 
 def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = 12, percent: int = 80) -> DataFrame:
     """docs without the rows that hold a benchmark passage."""
-    found = passages(docs, items, min_words, percent).select(F.col("doc_id").alias("_doc"), F.col("sign").alias("_sign")).distinct()
-    sign = F.xxhash64(text_or_empty())
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (sign == F.col("_sign")), "left_anti")
+    found = passages(docs, items, min_words, percent).select(F.col("doc_id").alias("_named_doc_id"), F.col("sign").alias("_named_sign"))
+    found = stage(found.distinct(), "contaminated")  # its size is then known
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_named_doc_id")) & (F.xxhash64(text_or_empty()) == F.col("_named_sign"))
+    return docs.join(found, same, "left_anti")
