@@ -4,10 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lossloom.llm import hamming_minhash, packing, secrets, spaced_seeds, weak_quality
 from lossloom.plans.workspace import scratch_table
 
-STAGES: list = []
-ORACLE_SQL: str | None = None  # no stage has a plain SQL form
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects; it learns from the stage's own documents."""
+    return weak_quality.keep_good(docs, weak_quality.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    return hamming_minhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a passage of the benchmark."""
+    return spaced_seeds.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With secrets replaced by their kind; no document is dropped."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("packing", packed),
+]
+ORACLE_SQL: str | None = None  # the stages have no SQL form; tests compare them with plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
