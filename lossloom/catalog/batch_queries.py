@@ -292,13 +292,16 @@ def modes(t: Tables):
     return ex.resolve_task_mode(_mode_examples(t), configured)
 
 
+q.PARTS["mode_texts"] = """
+    SELECT section_id, pos, lower(concat_ws(' ', nullif(CASE WHEN s % 4 = 1 AND pos = 1 THEN 'Prompt ' || sample ELSE sample END, ''), nullif(instruct, ''),
+             nullif(context, ''), CASE WHEN s % 4 = 1 AND pos = 0 THEN output || ' negative' WHEN s % 4 = 2 AND pos = 1 THEN output || ' photograph with lighting' ELSE output END)) AS txt
+    FROM (SELECT *, CAST(substr(section_id, 9, 3) AS INTEGER) AS s FROM examples)"""
 q.PARTS["mode_text"] = """
-    SELECT section_id, string_agg(lower(concat_ws(' ', nullif(CASE WHEN s % 4 = 1 AND pos = 1 THEN 'Prompt ' || sample ELSE sample END, ''), nullif(instruct, ''),
-             nullif(context, ''), CASE WHEN s % 4 = 1 AND pos = 0 THEN output || ' negative' WHEN s % 4 = 2 AND pos = 1 THEN output || ' photograph with lighting' ELSE output END)),
-             ' ' ORDER BY pos) AS txt
-    FROM (SELECT *, CAST(substr(section_id, 9, 3) AS INTEGER) AS s FROM examples) GROUP BY 1"""
+    SELECT section_id, string_agg(txt, ' ' ORDER BY pos) AS txt,
+           printf('%016x', CAST(sum(CAST('0x' || substr(sha256(pos || '|' || txt), 1, 13) AS BIGINT)) % 1152921504606846976 AS BIGINT)) AS example_hash
+    FROM mode_texts GROUP BY 1"""
 q.PARTS["mode_hits"] = f"""
-    SELECT section_id, {q.markers('txt', fx.VISUAL_MARKERS)} AS v, {q.markers('txt', fx.TEXT_MARKERS)} AS t, substr(sha256(txt), 1, 16) AS example_hash,
+    SELECT section_id, {q.markers('txt', fx.VISUAL_MARKERS)} AS v, {q.markers('txt', fx.TEXT_MARKERS)} AS t, example_hash,
            CASE CAST(substr(section_id, 9, 3) AS INTEGER) % 5 WHEN 0 THEN 'mixed' ELSE 'auto' END AS task_mode FROM mode_text"""
 q.PARTS["modes"] = f"""
     SELECT *, CASE WHEN task_mode = 'mixed' THEN 'mixed' WHEN vs >= 3 AND ts >= 2 THEN 'mixed' WHEN vs >= 3 THEN 'visual' ELSE 'text' END AS resolved_task_mode,
@@ -659,23 +662,22 @@ register(
 )
 
 
-def _slotted(t: Tables):
-    """One row per (section, round, slot): the newest record of every slot."""
-    n = F.col("ledger_id")
-    slot = (n % 10 + 1).cast("int")
-    tag = F.max_by("tag", "ledger_id")
-    return t.ledger().groupBy("section_id", "round_id", slot.alias("slot_id")).agg(tag.alias("tag")).select(
-        "section_id", "round_id", "slot_id",
-        F.when((F.col("slot_id") == 1) & (F.col("round_id") % 2 == 0), "contextual_qa").otherwise(F.col("tag")).alias("tag"),
-        (F.col("slot_id") % 3 != 0).alias("is_exploration"), (F.col("slot_id") == 1).alias("forced"),
+def _slot_rows(t: Tables):
+    """Every record as a row for one of twelve slots: two of them are outside the batch, and each has several rows."""
+    slot = (F.col("ledger_id") % 12 + 1).cast("int")
+    return t.ledger().select(
+        "section_id", "round_id", slot.alias("slot_id"), "ledger_id",
+        F.when((slot == 1) & (F.col("round_id") % 2 == 0), "contextual_qa").otherwise(F.col("tag")).alias("tag"),
+        (slot % 3 != 0).alias("is_exploration"), (slot == 1).alias("forced"),
     )
 
 
-q.PARTS["slotted"] = """
-    SELECT section_id, round_id, CAST(ledger_id % 10 + 1 AS INTEGER) AS slot_id,
-           CASE WHEN ledger_id % 10 = 0 AND round_id % 2 = 0 THEN 'contextual_qa' ELSE arg_max(tag, ledger_id) END AS tag,
-           ledger_id % 10 + 1 <> 3 AND ledger_id % 10 + 1 <> 6 AND ledger_id % 10 + 1 <> 9 AS explore, ledger_id % 10 = 0 AS forced
-    FROM ledger GROUP BY section_id, round_id, ledger_id % 10"""
+q.PARTS["slot_rows"] = """
+    SELECT *, row_number() OVER (PARTITION BY section_id, round_id, slot_id ORDER BY tag) AS rn FROM (
+      SELECT section_id, round_id, CAST(ledger_id % 12 + 1 AS INTEGER) AS slot_id, ledger_id,
+             CASE WHEN ledger_id % 12 = 0 AND round_id % 2 = 0 THEN 'contextual_qa' ELSE tag END AS tag,
+             (ledger_id % 12 + 1) % 3 <> 0 AS explore, ledger_id % 12 = 0 AS forced FROM ledger)"""
+q.PARTS["slotted"] = "SELECT section_id, round_id, slot_id, tag, explore, forced FROM slot_rows WHERE rn = 1 AND slot_id <= 10"
 q.PARTS["slot_steps"] = """
     SELECT s.*, coalesce(c.n, 0) AS n, t.total, row_number() OVER (PARTITION BY s.section_id, s.round_id ORDER BY slot_id) AS step
     FROM slotted s LEFT JOIN categories c ON c.section_id = s.section_id AND c.tag = s.tag
@@ -689,7 +691,7 @@ _NEXT = _WHY.format(ok=tuple(fx.CONTEXTUAL_TAGS), seen="f.seen", added="f.added"
 register(
     "accept_diverse",
     lambda t: bt.accept_diverse(
-        _slotted(t), counts(t), t.ledger().select("section_id", "round_id", F.lit("error").alias("tag")).distinct()
+        _slot_rows(t), counts(t), t.ledger().select("section_id", "round_id", F.lit("error").alias("tag")).distinct()
     ).select("section_id", "round_id", "slot_id", "tag", "accepted", "reject_reason"),
     f"""SELECT * FROM (WITH RECURSIVE f AS (
         SELECT s.section_id, s.round_id, s.slot_id, s.tag, s.step, {_START} AS reject_reason,
@@ -699,7 +701,9 @@ register(
         SELECT s.section_id, s.round_id, s.slot_id, s.tag, s.step, {_NEXT},
                CASE WHEN ({_NEXT}) IS NULL THEN list_append(f.seen, s.tag) ELSE f.seen END, f.added + CASE WHEN ({_NEXT}) IS NULL THEN 1 ELSE 0 END
         FROM f JOIN slot_steps s ON s.section_id = f.section_id AND s.round_id = f.round_id AND s.step = f.step + 1)
-        SELECT section_id, round_id, slot_id, tag, reject_reason IS NULL AS accepted, reject_reason FROM f)""",
+        SELECT section_id, round_id, slot_id, tag, reject_reason IS NULL AS accepted, reject_reason FROM f)
+        UNION ALL SELECT section_id, round_id, slot_id, tag, false, CASE WHEN slot_id > 10 THEN 'slot_out_of_range' ELSE 'duplicate_slot' END
+        FROM slot_rows WHERE slot_id > 10 OR rn > 1""",
 )
 
 # --- pool -------------------------------------------------------------------------------------
@@ -741,12 +745,19 @@ register(
 )
 register(
     "assemble_batch",
-    lambda t: bt.assemble_batch(_batch_half(t, "recycled"), _batch_half(t, "generated"), 7)[0].groupBy("section_id", "round_id").agg(
-        F.count("*").alias("n"), F.max("batch_pos").alias("last"), F.count_distinct("batch_pos").alias("places")
+    lambda t: bt.assemble_batch(_batch_half(t, "recycled"), _batch_half(t, "generated"), 7)[0].select(
+        "section_id", "round_id", "slot_id", "tag", "sample", "gold_summary", "source", "batch_pos"
     ),
-    "SELECT section_id, round_id, count(*) AS n, CAST(count(*) AS INTEGER) AS last, count(*) AS places FROM ledger WHERE ledger_id % 17 <> 0 AND ledger_id % 13 <> 0 AND ledger_id % 19 <> 0 GROUP BY 1, 2",
+    "SELECT section_id, round_id, ledger_id AS slot_id, tag, sample, gold_summary, source, CAST(row_number() OVER (PARTITION BY section_id, round_id "
+    "ORDER BY sha256('7|' || section_id || '|' || round_id || '|' || ledger_id), ledger_id) AS INTEGER) AS batch_pos "
+    "FROM ledger WHERE ledger_id % 17 <> 0 AND ledger_id % 13 <> 0 AND ledger_id % 19 <> 0",
+)
+register(
+    "shuffle_batch",
+    lambda t: bt.shuffle_batch(t.ledger().withColumn("slot_id", F.col("ledger_id")), 3).select("section_id", "round_id", "slot_id", "batch_pos"),
+    "SELECT section_id, round_id, ledger_id AS slot_id, CAST(row_number() OVER (PARTITION BY section_id, round_id "
+    "ORDER BY sha256('3|' || section_id || '|' || round_id || '|' || ledger_id), ledger_id) AS INTEGER) AS batch_pos FROM ledger",
 )
-register("shuffle_batch", lambda t: bt.shuffle_batch(_slotted(t), 3).select("section_id", "round_id", "slot_id", "batch_pos"))
 
 
 def _batch_half(t: Tables, source: str):
@@ -758,19 +769,19 @@ def _batch_half(t: Tables, source: str):
 
 
 def _answers(t: Tables):
-    return t.task_records().withColumnRenamed("output", "gold_summary").where(F.col("record_id") >= 1_000_000_000_000).withColumnRenamed("record_id", "row_id")
+    return t.task_records().withColumnRenamed("output", "gold_summary").withColumnRenamed("record_id", "row_id")
 
 
 q.PARTS["answers"] = f"""
     SELECT record_id AS row_id, sample, instruct, output AS gold_summary,
            string_split({q.squeeze("lower('### Instruction: ' || instruct || CASE WHEN " + q.strip('sample') + " = '' THEN '' ELSE ' ### Input: ' || sample END || ' ### Output:')")}, ' ') AS p,
            CASE WHEN {q.squeeze("coalesce(output, '')")} = '' THEN [] ELSE string_split({q.squeeze("lower(output)")}, ' ') END AS a
-    FROM records WHERE record_id >= 1000000000000"""
+    FROM records"""
 q.PARTS["budget"] = "SELECT *, least(512, len(p) + len(a)) AS total, greatest(0, least(512, len(p) + len(a)) - least(512, len(p))) AS room FROM answers"
 register(
     "token_budget",
-    lambda t: sc.token_budget(_answers(t)).select("row_id", "prompt_tokens", "gold_tokens", "token_length", "answer_tokens"),
-    "SELECT row_id, CAST(len(p) AS INTEGER) AS prompt_tokens, CAST(len(a) AS INTEGER) AS gold_tokens, CAST(total AS INTEGER) AS token_length, CAST(room AS INTEGER) AS answer_tokens FROM budget",
+    lambda t: sc.token_budget(_answers(t)).select("row_id", "prompt_tokens", "gold_tokens", "token_length", "answer_tokens", "truncated"),
+    "SELECT row_id, CAST(len(p) AS INTEGER) AS prompt_tokens, CAST(len(a) AS INTEGER) AS gold_tokens, CAST(total AS INTEGER) AS token_length, CAST(room AS INTEGER) AS answer_tokens, len(p) + len(a) > 512 AS truncated FROM budget",
 )
 q.PARTS["corpus"] = f"SELECT doc_id, string_split({q.squeeze('lower(text)')}, ' ') AS t FROM documents WHERE {q.squeeze('text')} <> ''"
 q.PARTS["bigrams"] = """

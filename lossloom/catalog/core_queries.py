@@ -66,8 +66,8 @@ register(
 )
 register(
     "declared_generated",
-    lambda t: lg.declared_generated(_nullable_source(t)).groupBy("section_id").agg(F.count("*").alias("n")),
-    "SELECT section_id, count(*) AS n FROM ledger WHERE source = 'generated' OR ledger_id % 11 = 0 GROUP BY 1",
+    lambda t: lg.declared_generated(_nullable_source(t)).select("section_id", "ledger_id", "tag"),
+    "SELECT section_id, ledger_id, tag FROM ledger WHERE source = 'generated' OR ledger_id % 11 = 0",
 )
 
 
@@ -89,20 +89,18 @@ register(
 register(
     "assign_ids",
     lambda t: lg.assign_ids(_late(t), _early(t)).select("section_id", "slot_id", "ledger_id"),
-    "SELECT l.section_id, l.ledger_id AS slot_id, m.top + row_number() OVER (PARTITION BY l.section_id ORDER BY l.ledger_id) AS ledger_id "
+    "SELECT l.section_id, l.ledger_id AS slot_id, m.top + row_number() OVER (PARTITION BY l.section_id ORDER BY l.round_id, l.ledger_id) AS ledger_id "
     "FROM ledger l JOIN (SELECT section_id, max(ledger_id) AS top FROM ledger WHERE round_id < 10 GROUP BY 1) m USING (section_id) "
     "WHERE round_id >= 10",
 )
 register(
     "append_rows",
-    lambda t: lg.append_ledger(_late(t), _early(t)).groupBy("section_id", "round_id").agg(
-        F.count("*").alias("n"), F.min("ledger_id").alias("first_id"), F.max("ledger_id").alias("last_id"), F.avg("loss").alias("avg_loss")
-    ),
-    "SELECT section_id, round_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id, round(avg(loss), 6) AS avg_loss FROM ("
-    "SELECT section_id, round_id, loss, ledger_id AS id FROM ledger WHERE round_id < 10 UNION ALL "
-    "SELECT l.section_id, l.round_id, l.loss, m.top + row_number() OVER (PARTITION BY l.section_id ORDER BY l.ledger_id) "
+    lambda t: lg.append_ledger(_late(t), _early(t)).select("section_id", "round_id", "ledger_id", "tag", "sample", "loss"),
+    "SELECT section_id, round_id, id AS ledger_id, tag, sample, round(loss, 6) AS loss FROM ("
+    "SELECT section_id, round_id, loss, tag, sample, ledger_id AS id FROM ledger WHERE round_id < 10 UNION ALL "
+    "SELECT l.section_id, l.round_id, l.loss, l.tag, l.sample, m.top + row_number() OVER (PARTITION BY l.section_id ORDER BY l.round_id, l.ledger_id) "
     "FROM ledger l JOIN (SELECT section_id, max(ledger_id) AS top FROM ledger WHERE round_id < 10 GROUP BY 1) m USING (section_id) "
-    "WHERE l.round_id >= 10) GROUP BY 1, 2",
+    "WHERE l.round_id >= 10)",
 )
 
 
@@ -116,7 +114,7 @@ def _early(t: Tables):
 
 register(
     "number_rows",
-    lambda t: rk.number_rows(t.ledger(), ["section_id"], "ledger_id", "pos", 64).select("section_id", "ledger_id", "pos"),
+    lambda t: rk.number_rows(t.ledger(), ["section_id"], "ledger_id", "pos").select("section_id", "ledger_id", "pos"),
     "SELECT section_id, ledger_id, row_number() OVER (PARTITION BY section_id ORDER BY ledger_id) - 1 AS pos FROM ledger",
 )
 register(
@@ -228,12 +226,12 @@ register(
 register(
     "to_vault_items",
     lambda t: vt.to_vault_items(
-        t.ledger().join(t.vault().select("section_id"), "section_id", "left_semi").where(F.col("loss") > 3), t.vault()
+        t.ledger().join(t.vault().select("section_id"), "section_id", "left_semi"), t.vault()
     ).select(*VAULT_COLS),
     "SELECT l.section_id, v.pos, l.ledger_id, l.tag, l.token_length, round(l.loss, 6) AS loss, coalesce(v.recycle_count, 0) AS recycle_count, "
     "v.last_recycled_round, coalesce(v.active, true) AS active, v.retired_reason, coalesce(v.first_seen_round, l.round_id) AS first_seen_round, "
     "l.round_id AS last_seen_round, round(l.loss, 6) AS last_loss, round(v.best_recycle_loss, 6) AS best_recycle_loss "
-    "FROM ledger l LEFT JOIN vault v ON v.section_id = l.section_id AND v.ledger_id = l.ledger_id WHERE l.loss > 3",
+    "FROM ledger l LEFT JOIN vault v ON v.section_id = l.section_id AND v.ledger_id = l.ledger_id",
 )
 register(
     "lowest_half_avg",

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lossloom import schemas
 from lossloom.catalog import sql as q
 from lossloom.catalog.adapters import Tables, section_of
+from lossloom.catalog.core_queries import VAULT_SQL
 from lossloom.catalog.registry import register
 from lossloom.plans.loop import run_rounds
 from lossloom.plans.workspace import scratch_table
+from lossloom.sources.files import read_vault, write_ledger, write_vault
 from lossloom.streaming import streams as st
 
 
@@ -89,14 +91,24 @@ register(
 
 
 def _vault(t: Tables) -> DataFrame:
-    """The whole ledger streamed in; its last two rounds close one after the other."""
+    """The last round of every section arrives in two micro-batches; the snapshot before it is three rounds older."""
     source, ledger, vault = (scratch_table(t.spark, n) for n in ("source", "ledger", "vault"))
-    t.ledger().withColumn("round_id", F.when(F.col("round_id") < 29, 28).otherwise(F.col("round_id"))).write.parquet(source)
-    st.stream_vault(t.spark.readStream.schema(schemas.LEDGER).parquet(source), ledger, vault, vault + "-log").awaitTermination()
-    return t.spark.read.parquet(vault).where("round_id = 29").select("section_id", "pos", "ledger_id", "loss", "active", "retired_reason")
-
-
-register("stream_vault", _vault)
+    names, last = schemas.columns(schemas.LEDGER), t.rounds()
+    rows = t.ledger().join(last, "section_id")
+    write_ledger(rows.where("round_id < current_round").select(*names), ledger)
+    write_vault(t.vault().join(last, "section_id").withColumn("round_id", F.col("current_round") - 3), vault)
+    again = t.recycled_evaluations().withColumn("ledger_id", F.col("slot_id"))
+    missing = {c: F.lit("") for c in names if c not in again.columns}
+    new = rows.where("round_id = current_round and source <> 'recycled'").select(*names).unionByName(again.withColumns(missing).select(*names))
+    half = F.col("ledger_id") % 2
+    for part in (half == 0, half == 1):
+        new.where(part).coalesce(1).write.mode("append").parquet(source)
+    arriving = t.spark.readStream.schema(schemas.LEDGER).option("maxFilesPerTrigger", 1).parquet(source)
+    st.stream_vault(arriving, ledger, vault, vault + "-log").awaitTermination()
+    return read_vault(t.spark, vault).join(last.withColumnRenamed("current_round", "round_id"), ["section_id", "round_id"]).select(*schemas.columns(schemas.VAULT))
+
+
+register("stream_vault", _vault, f"SELECT {VAULT_SQL} FROM new_vault")
 
 
 def _score(batch: DataFrame) -> DataFrame:

@@ -14,10 +14,17 @@ from lossloom.sources import files as fl
 _LEDGER = "section_id, ledger_id, sample, instruct, gold_summary, '' AS student_ans, token_length, round(loss, 6) AS loss, tag, round_id, source, source_ledger_id"
 
 
+def _some(section: str = "section_id"):
+    """About half of the sections, for writing a table in parts."""
+    return F.substring(section, 9, 3).cast("int") % 2 == 0
+
+
 def _ledger(t: Tables):
+    """Written by sections, each round of a section on its own, and one round again."""
     path = scratch_table(t.spark, "ledger")
-    fl.write_ledger(t.ledger(), path)
-    fl.write_ledger(t.ledger().where(F.col("round_id") == 3), path)  # a rerun of one round
+    ledger, early = t.ledger(), F.col("round_id") < 7
+    for part in (_some() & early, ~_some() & early, _some() & ~early, ~_some() & ~early, _some() & (F.col("round_id") == 3)):
+        fl.write_ledger(ledger.where(part), path)
     return fl.read_ledger(t.spark, path)
 
 
@@ -35,16 +42,21 @@ register("read_ledger_json", _ledger_json, f"SELECT {_LEDGER} FROM ledger")
 
 
 def _vault(t: Tables):
+    """Two rounds, the second section by section and once too large, then again."""
     path = scratch_table(t.spark, "vault")
-    fl.write_vault(t.vault().withColumn("round_id", F.lit(1)), path)
-    fl.write_vault(t.vault().where(F.col("pos") <= 4).withColumn("round_id", F.lit(2)), path)
-    return fl.read_vault(t.spark, path).groupBy("round_id", "section_id").agg(F.count("*").alias("n"), F.sum("loss").alias("total"))
+    vault, short = t.vault(), F.col("pos") <= 4
+    fl.write_vault(vault.withColumn("round_id", F.lit(1)), path)
+    second = vault.withColumn("round_id", F.lit(2))
+    fl.write_vault(second.where(_some()), path)
+    for part in (_some() & short, ~_some() & short):
+        fl.write_vault(second.where(part), path)
+    return fl.read_vault(t.spark, path).select("round_id", "section_id", "pos", "ledger_id", "tag", "loss", "active", "recycle_count")
 
 
 register(
     "write_vault",
     _vault,
-    "SELECT r AS round_id, section_id, count(*) AS n, round(sum(loss), 6) AS total FROM vault, (VALUES (1), (2)) x(r) WHERE r = 1 OR pos <= 4 GROUP BY 1, 2",
+    "SELECT r AS round_id, section_id, pos, ledger_id, tag, round(loss, 6) AS loss, active, recycle_count FROM vault, (VALUES (1), (2)) x(r) WHERE r = 1 OR pos <= 4",
 )
 
 
@@ -69,8 +81,8 @@ def _events(t: Tables):
     rows = t.read("events").select(
         F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").cast("string").alias("section_id"), "event_type", "value", "props"
     )
-    fl.write_events(rows.where(F.col("value") < 50), path)
-    fl.write_events(rows.where(F.col("value") >= 50), path)
+    for stage, part in (("low", F.col("value") < 50), ("high", F.col("value") >= 50), ("low", F.col("value") < 50)):  # one stage again
+        fl.write_events(rows.where(part), path, stage)
     return fl.read_events(t.spark, path, "value double, props string").groupBy("section_id", "event_type").agg(
         F.count("*").alias("n"), F.sum("value").alias("total"), F.max("props").alias("props")
     )
@@ -93,14 +105,17 @@ register("read_eval_losses", _eval_losses, "SELECT tag AS run, CAST(ledger_id AS
 
 
 def _example_files(t: Tables, text: bool):
+    """Files of many pairs each: a list of objects, or blocks one after another."""
     path = scratch_table(t.spark, "examples")
     block = F.concat(F.lit("Sample:\n"), "instruct", F.lit("\nOutput:\n"), "gold_summary")
     obj = F.to_json(F.struct(F.col("instruct").alias("sample"), F.col("gold_summary").alias("output")))
     body = F.regexp_replace(block if text else obj, "\r", "")
-    t.pairs().select(body.alias("value"), "conv_id", "turn").repartition(8).write.option("maxRecordsPerFile", 1).partitionBy("conv_id", "turn").text(path)
-    glob = f"{path}/*/*"
+    bundle = F.floor((F.col("conv_id") * 64 + F.col("turn")) / 16)  # at most 16 pairs, whatever the size of the table
+    bundles = t.pairs().groupBy(bundle.alias("b")).agg(F.collect_list(body).alias("l"))
+    whole = F.array_join("l", "\n\n") if text else F.concat(F.lit("["), F.array_join("l", ","), F.lit("]"))
+    bundles.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     read = fl.read_examples_text if text else fl.read_examples_json
-    return read(t.spark, glob).select("sample", "output", "mode")
+    return read(t.spark, path).select("sample", "output", "mode")
 
 
 _PAIRS = f"SELECT {q.strip('instruct')} AS sample, {q.strip('gold_summary')} AS output, 'plain' AS mode FROM pairs"
@@ -125,7 +140,7 @@ register(
     "write_requests",
     _numbered,
     "SELECT section_id, ledger_id AS slot_id, row_number() OVER w AS request_no, CASE WHEN row_number() OVER w % 2 = 0 THEN upper(sample) END AS response "
-    "FROM ledger WINDOW w AS (PARTITION BY section_id ORDER BY round_id >= 10, ledger_id)",
+    "FROM ledger WINDOW w AS (PARTITION BY section_id ORDER BY round_id, ledger_id)",
 )
 
 
@@ -149,7 +164,8 @@ register(
 
 def _history(t: Tables):
     path = scratch_table(t.spark, "history")
-    fl.write_planner_history(t.round_losses(), path, keep=12)
+    for part in (F.col("round_id") < 9, _some() & (F.col("round_id") >= 9), ~_some() & (F.col("round_id") >= 9), F.col("round_id") > 25):
+        fl.write_planner_history(t.round_losses().where(part), path, keep=12)
     return t.spark.read.parquet(path).select("section_id", "round_id", "decision_loss")
 
 

@@ -20,6 +20,7 @@ from lossloom.operators import planner as pl
 from lossloom.operators.ledger import known_categories, render_tag_counts
 from lossloom.operators.ranking import top_n
 from lossloom.params import DEFAULTS, Params
+from lossloom.plans.workspace import settle
 
 _STRINGS = "array<string>"
 
@@ -59,37 +60,53 @@ def validate_batch(batch: DataFrame) -> DataFrame:
     return batch.withColumn("violations", F.array_compact(F.array(*rules)))
 
 
-def validate_batch_size(batch: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Per batch: its size, whether it is exact, and how many rows miss their gold answer.
+def validate_batch_size(batch: DataFrame, p: Params = DEFAULTS, check_size: bool = True) -> DataFrame:
+    """Per batch: its size, whether it is exact, how many rows miss their gold answer, and at which slots.
 
-    The positions themselves are listed for batches of the expected size only; an oversized batch
-    is reported by its count, not gathered.
+    With ``check_size`` a wrong size is the first error, so slots are listed for batches of the expected size only; without
+    it they are listed for every batch. :func:`oversize_rows` gives the rows beyond the expected size.
     """
     missing = tx.is_blank("gold_summary")
-    sizes = batch.groupBy("section_id", "round_id").agg(
-        F.count("*").alias("size"), F.count_if(missing).alias("missing_gold")
-    ).withColumn("exact", F.col("size") == p.batch_size)
+    keys = ["section_id", "round_id"]
+    sizes = batch.groupBy(*keys).agg(F.count("*").alias("size"), F.count_if(missing).alias("missing_gold"))
+    sizes = sizes.withColumn("exact", F.col("size") == p.batch_size)
+    wanted = sizes.where("exact") if check_size else sizes
     listed = (
         batch.where(missing)
-        .join(sizes.where("exact").select("section_id", "round_id"), ["section_id", "round_id"], "left_semi")
-        .groupBy("section_id", "round_id")
+        .join(wanted.select(*keys), keys, "left_semi")
+        .groupBy(*keys)
         .agg(F.array_join(F.sort_array(F.collect_list("slot_id")).cast(_STRINGS), ", ").alias("positions"))
     )
-    return sizes.join(listed, ["section_id", "round_id"], "left")
+    return sizes.join(listed, keys, "left")
+
+
+def oversize_rows(batch: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Rows of a batch beyond the expected size, in slot order, with the reason ``batch_too_large``."""
+    keys = ["section_id", "round_id"]
+    large = batch.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > p.batch_size).select(*keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("slot_id"))
+    rows = batch.join(large, keys, "left_semi").withColumn("_place", place).where(F.col("_place") > p.batch_size)
+    return rows.drop("_place").withColumn("reason", F.lit("batch_too_large"))
 
 
 # --- generator responses ----------------------------------------------------------------------
 
 
-def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ingest_responses(
+    raw: DataFrame, items: DataFrame, counts: DataFrame | None = None, p: Params = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine) from raw generator output.
 
-    ``raw``: ``section_id, round_id, response``. ``items``: ``section_id, round_id, slot_id,
+    ``raw``: ``section_id, round_id, response`` and, where a batch may be answered more than once, ``response_no``: of several
+    rows for a slot the last of the last response wins. With ``counts`` (tag counts of the sections) the rows' tags are
+    conformed to the known categories, which adds ``tag_match``. ``items``: ``section_id, round_id, slot_id,
     generation_index, tag`` for the requested slots. A response may be a JSON array, an object with
     ``samples`` or ``items``, or a single object; it may be fenced or surrounded by chatter. Rows
     without a slot id take the slot at their position.
     """
     keys = ["section_id", "round_id"]
+    if "response_no" not in raw.columns:
+        raw = raw.withColumn("response_no", F.lit(0))
     slots = items.groupBy(*keys).agg(  # a recipe's worth of slots
         F.array_sort(F.collect_list(F.struct("generation_index", "slot_id", "tag"))).alias("_items")
     )
@@ -113,7 +130,7 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     # Outer explode: a response without rows stays as one row and is judged with the others, so no
     # filter sits above the parsing stages (the optimizer would copy the parsing into it).
     elements = listed.select(
-        *keys, "error", F.col("_rows").isNull().alias("_broken"), "payload",
+        *keys, "response_no", "error", F.col("_rows").isNull().alias("_broken"), "payload",
         F.posexplode_outer("_rows").alias("row_index", "_e"),
     )
 
@@ -122,7 +139,7 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
 
     at = F.get("_items", F.col("row_index"))
     fields = elements.join(slots, keys, "left").select(
-        *keys, "row_index", "_items", "error", "_broken", "payload",
+        *keys, "response_no", "row_index", "_items", "error", "_broken", "payload",
         F.schema_of_variant("_e").startswith("OBJECT").alias("_object"),
         F.when(
             F.col("row_index").isNotNull(), F.coalesce(text("slot_id"), at["slot_id"].cast("string"))
@@ -148,15 +165,20 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
         .when(tx.is_blank("gold_summary"), "missing_gold")
         .otherwise("")
     )
-    # The window also keeps the checks from being copied into every filter below.
-    last = Window.partitionBy(*keys, "slot_id", "reason").orderBy(F.col("row_index").desc())
-    judged = known.withColumn("reason", reason).withColumn("_rn", F.row_number().over(last))
+    # The window also keeps the checks from being copied into every filter below. Rows that are rejected anyway are spread,
+    # as all broken responses of a batch share a null slot and one reason.
+    spread = F.when(F.col("reason") == "", F.lit(0)).otherwise(F.pmod(F.xxhash64("payload", "row_index", "response_no"), F.lit(1 << 20)))
+    last = Window.partitionBy(*keys, "slot_id", "reason", "_spread").orderBy(F.col("response_no").desc(), F.col("row_index").desc())
+    judged = known.withColumn("reason", reason).withColumn("_spread", spread).withColumn("_rn", F.row_number().over(last))
     good = judged.where((F.col("reason") == "") & (F.col("_rn") == 1)).select(
         *keys, "slot_id", "sample", "instruct", "gold_summary",
         F.coalesce("_tag", "_item.tag").alias("tag"), F.lit("generated").alias("source"),
         F.lit(None).cast("bigint").alias("source_ledger_id"),
     )
-    rejected = judged.where((F.col("reason") != "") | (F.col("_rn") > 1)).select(
+    if counts is not None:
+        good = conform_tags(good, counts, p)
+    repeated = (F.col("reason") == "") & (F.col("_rn") > 1)
+    rejected = judged.where((F.col("reason") != "") | repeated).select(
         *keys, "slot_id", "row_index",
         F.when(F.col("reason") == "", "duplicate_slot_id").otherwise(F.col("reason")).alias("reason"),
         F.coalesce("error", F.substring(F.coalesce("sample", "payload"), 1, 240)).alias("detail"),
@@ -167,11 +189,13 @@ def ingest_responses(raw: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
 # --- tag vocabulary ---------------------------------------------------------------------------
 
 
-def _candidate(c: Column | str) -> Column:
-    tag = tx.normalize_tag(tx.base_tag(c))
-    tag = F.regexp_replace(tag, r"\Ahard_", "")
-    bad = (tag == "") | ~tx.is_category(tag) | tag.startswith(fx.WIDE_VARIETY + "_")
-    return F.when(~bad, tag)
+def _candidates(tags: DataFrame) -> DataFrame:
+    """Adds the category that each distinct raw tag names, if any, one table per step so that no expression grows large."""
+    named = settle(tags.withColumn("_base", tx.base_tag("tag")))
+    named = settle(named.withColumn("_norm", tx.normalize_tag("_base")))
+    named = settle(named.withColumn("_norm", F.regexp_replace("_norm", r"\Ahard_", "")))
+    bad = (F.col("_norm") == "") | ~tx.is_category("_norm") | F.col("_norm").startswith(fx.WIDE_VARIETY + "_")
+    return settle(named.select(*tags.columns, F.when(~bad, F.col("_norm")).alias("_cand")))
 
 
 def _close_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
@@ -245,11 +269,12 @@ def _match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def conform_tags(df: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Replace ``tag`` by its known category and add ``tag_match``.
 
-    Works on distinct tags: exact matches first, then the closest known category at or above the
-    cutoff (ties go to the last in the alphabet), else the tag stays as a new category.
+    All work is done on the distinct raw tags of a section: exact matches first, then the closest known category at or
+    above the cutoff (ties go to the last in the alphabet), else the tag stays as a new category. The rows are joined to the
+    finished mapping once.
     """
-    known = known_categories(counts).select("section_id", F.col("tag").alias("b"))
-    named = df.withColumn("_cand", _candidate("tag"))
+    known = settle(known_categories(counts).select("section_id", F.col("tag").alias("b")))
+    named = _candidates(df.select("section_id", "tag").distinct())
     distinct = named.where(F.col("_cand").isNotNull()).select("section_id", F.col("_cand").alias("a")).distinct()
     exact = distinct.join(
         known.withColumnRenamed("b", "a"), ["section_id", "a"], "left_semi"
@@ -263,21 +288,17 @@ def conform_tags(df: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> Data
         .agg(F.max(F.struct("_r", "b")).alias("_m"))
         .select("section_id", "a", F.col("_m.b").alias("_tag"), F.lit("fuzzy").alias("_match"))
     )
-    mapping = exact.unionByName(fuzzy).withColumnRenamed("a", "_cand")
-    return (
-        named.join(mapping, ["section_id", "_cand"], "left")
-        .withColumns(
-            {
-                "tag": F.when(F.col("_cand").isNull(), "uncategorized").otherwise(
-                    F.coalesce("_tag", "_cand")
-                ),
-                "tag_match": F.when(F.col("_cand").isNull(), "uncategorized").otherwise(
-                    F.coalesce("_match", F.lit("new"))
-                ),
-            }
+    found = exact.unionByName(fuzzy).withColumnRenamed("a", "_cand")
+    none = F.col("_cand").isNull()
+    mapping = settle(
+        named.join(found, ["section_id", "_cand"], "left").select(
+            F.col("section_id").alias("_section"), F.col("tag").alias("_raw"),
+            F.when(none, "uncategorized").otherwise(F.coalesce("_tag", "_cand")).alias("_tag"),
+            F.when(none, "uncategorized").otherwise(F.coalesce("_match", F.lit("new"))).alias("tag_match"),
         )
-        .drop("_cand", "_tag", "_match")
     )
+    same = F.col("section_id").eqNullSafe(F.col("_section")) & F.col("tag").eqNullSafe(F.col("_raw"))
+    return df.join(mapping, same).withColumn("tag", F.col("_tag")).drop("_section", "_raw", "_tag")
 
 
 # --- diversity --------------------------------------------------------------------------------
@@ -286,18 +307,22 @@ def conform_tags(df: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> Data
 def accept_diverse(
     batch: DataFrame, counts: DataFrame, round_tags: DataFrame | None = None, p: Params = DEFAULTS
 ) -> DataFrame:
-    """Add ``accepted`` and ``reject_reason`` to generated rows, judged in slot order.
+    """Add ``accepted`` and ``reject_reason`` to every generated row, judged in slot order.
 
-    ``batch``: one row per slot with ``tag``, ``is_exploration`` and ``forced``. A row's verdict
-    depends on the rows accepted before it, so each batch is folded; it holds one row per slot, at
-    most ``batch_size``. ``round_tags`` are tags already used by recycled rows.
+    ``batch``: rows with ``slot_id``, ``tag``, ``is_exploration`` and ``forced``. Slots outside the batch are rejected as
+    ``slot_out_of_range``; of several rows for a slot the first by tag is judged and the others are ``duplicate_slot``. A
+    judged row's verdict depends on the rows accepted before it, so each batch is folded; at most ``batch_size`` rows of it
+    are. ``round_tags`` are tags already used by recycled rows; a tag may be used ``tags_per_round`` times.
     """
     keys = ["section_id", "round_id"]
     known = known_categories(counts)
     totals = known.groupBy("section_id").agg(F.sum("n").alias("_total"))
-    one_per_slot = top_n(
-        batch.where(F.col("slot_id").between(1, p.batch_size)), [*keys, "slot_id"], [F.col("tag")], 1, "_rn"
-    )
+    in_range = F.coalesce(F.col("slot_id").between(1, p.batch_size), F.lit(False))
+    outside = batch.where(~in_range).withColumn("reject_reason", F.lit("slot_out_of_range"))
+    first = F.row_number().over(Window.partitionBy(*keys, "slot_id").orderBy("tag"))
+    ranked = settle(batch.where(in_range).withColumn("_rn", first))  # read twice; which of equal rows is first must not change
+    one_per_slot = ranked.where("_rn = 1")
+    repeated = ranked.where("_rn > 1").drop("_rn").withColumn("reject_reason", F.lit("duplicate_slot"))
     rows = (
         one_per_slot.select(*keys, "slot_id", "tag", "is_exploration", "forced")
         .join(known.withColumnRenamed("n", "_n"), ["section_id", "tag"], "left")
@@ -325,7 +350,7 @@ def accept_diverse(
     why = (
         "CASE WHEN NOT x.explore THEN NULL "
         f"WHEN x.forced THEN if(x.norm IN ({banned}) OR x.norm NOT IN ({allowed}), 'not_contextual', NULL) "
-        "WHEN array_contains(a.seen, x.tag) THEN 'tag_in_round' "
+        f"WHEN size(filter(a.seen, t -> t = x.tag)) >= {p.tags_per_round} THEN 'tag_in_round' "
         f"WHEN x.total + a.added > 0 AND x.n >= {p.dominant_count} "
         f"AND x.n / (x.total + a.added) >= {p.dominant_share}D THEN 'tag_dominates_section' END"
     )
@@ -339,9 +364,9 @@ def accept_diverse(
     verdicts = rows.select(*keys, F.explode(F.expr(fold)).alias("v")).select(
         *keys, F.col("v.slot_id").alias("slot_id"), F.col("v.reason").alias("reject_reason")
     )
-    return one_per_slot.drop("_rn").join(verdicts, [*keys, "slot_id"]).withColumn(
-        "accepted", F.col("reject_reason").isNull()
-    )
+    judged = one_per_slot.drop("_rn").join(verdicts, [*keys, "slot_id"]).select(*repeated.columns)
+    rows = judged.unionByName(repeated).unionByName(outside.select(*repeated.columns))
+    return rows.withColumn("accepted", F.col("reject_reason").isNull())
 
 
 # --- pool selection ---------------------------------------------------------------------------
@@ -355,8 +380,8 @@ def select_from_pool(
 
     A focused slot takes the next best row of its tag. Exploration slots take the best row of tags
     not used in the round otherwise, least counted tags first, one row per tag. Rows in ``used``
-    (``section_id, sample_id``) are not taken again. Each (section, tag) is cut to ``batch_size``
-    rows before it is shuffled. Slots the pool cannot fill come back with a null ``sample_id``.
+    (``section_id, sample_id``) are not taken again, nor does one call give a row to two rounds. Each
+    (section, tag) is cut to the rows that its rounds can take before it is shuffled. Slots the pool cannot fill come back with a null ``sample_id``.
     """
     fresh = pool if used is None else pool.join(
         used.select("section_id", "sample_id"), ["section_id", "sample_id"], "left_anti"
@@ -366,16 +391,19 @@ def select_from_pool(
         if hardest_first
         else [F.xxhash64("section_id", "sample_id"), F.col("sample_id")]
     )
-    best = top_n(
-        fresh.withColumn("tag", tx.normalize_tag("tag")).select("section_id", "tag", "sample_id", "score"),
-        ["section_id", "tag"], order, p.batch_size, "tag_rank",
-    )
     slots = recipe.where(F.col("command") == "generate").select(
         "section_id", "round_id", "slot_id", F.col("tag").alias("slot_tag"),
         tx.normalize_tag(tx.base_tag("tag")).alias("tag"), tx.is_wide_variety("tag").alias("explore"),
     )
-    # Slots of one recipe share its round; windows below hold at most one recipe.
-    by_tag = Window.partitionBy("section_id", "round_id", "tag").orderBy("slot_id")
+    # Windows over a section's slots hold the recipes of one call; a row is given out once, also over several rounds.
+    turn = F.dense_rank().over(Window.partitionBy("section_id").orderBy("round_id")) - 1
+    slots = settle(slots.withColumn("_turn", turn))
+    rounds = (slots.agg(F.max("_turn")).first()[0] or 0) + 1
+    best = top_n(
+        fresh.withColumn("tag", tx.normalize_tag("tag")).select("section_id", "tag", "sample_id", "score"),
+        ["section_id", "tag"], order, p.batch_size * rounds + rounds, "tag_rank",
+    )
+    by_tag = Window.partitionBy("section_id", "tag").orderBy("round_id", "slot_id")
     focused = slots.where(~F.col("explore")).withColumn("tag_rank", F.row_number().over(by_tag))
     fill = focused.join(best, ["section_id", "tag", "tag_rank"], "left").select(
         "section_id", "round_id", "slot_id", "slot_tag", F.when(F.col("sample_id").isNotNull(), F.col("tag")).alias("tag"),
@@ -385,11 +413,13 @@ def select_from_pool(
         "section_id", "round_id", tx.normalize_tag(tx.base_tag("tag")).alias("tag")
     ).distinct()
     explore = slots.where("explore").drop("tag")
-    rounds = explore.select("section_id", "round_id").distinct()
     known = known_categories(counts)
+    # a tag's rows are given to its focused slots first, then one to each round that explores
+    spent = focused.groupBy("section_id", "tag").agg(F.count("*").alias("_spent"))
     open_tags = (
-        best.where(F.col("tag_rank") == 1)
-        .join(rounds, "section_id")
+        best.join(spent, ["section_id", "tag"], "left")
+        .join(explore.select("section_id", "round_id", "_turn").distinct(), "section_id")
+        .where(F.col("tag_rank") == F.coalesce("_spent", F.lit(0)) + F.col("_turn") + 1)
         .join(taken, ["section_id", "round_id", "tag"], "left_anti")
         .join(known, ["section_id", "tag"], "left")
     )
@@ -407,10 +437,9 @@ def select_from_pool(
 
 
 def shuffle_batch(batch: DataFrame, seed: int = 0) -> DataFrame:
-    """Order each batch by a hash of seed and slot; repeatable, unlike a random shuffle."""
-    w = Window.partitionBy("section_id", "round_id").orderBy(
-        F.xxhash64(F.lit(seed), "section_id", "round_id", "slot_id"), "slot_id"
-    )
+    """Order each batch by a SHA-256 of seed and slot; repeatable on any engine, unlike a random shuffle."""
+    mark = F.sha2(F.concat_ws("|", F.lit(seed), "section_id", "round_id", "slot_id"), 256)
+    w = Window.partitionBy("section_id", "round_id").orderBy(mark, "slot_id")
     return batch.withColumn("batch_pos", F.row_number().over(w))
 
 

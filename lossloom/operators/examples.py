@@ -5,16 +5,13 @@ A file of examples is one row, so parsing is a per-row expression and needs no s
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossloom import fixed_values as fx
 from lossloom.functions import text as tx
 from lossloom.operators.ranking import number_rows
+from lossloom.plans.workspace import settle
 
 _FIELDS = ["sample", "output", "instruct", "context", "mode"]
 _LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
@@ -217,75 +214,50 @@ def assign_examples(items: DataFrame, examples: DataFrame) -> DataFrame:
 
 # --- task mode --------------------------------------------------------------------------------
 
-_DIRECT_HASH_CHARS = 4_000_000
 _SEAM = 1 + max(len(m) for m in [*fx.VISUAL_MARKERS, *fx.TEXT_MARKERS])
 
 
-def _hash_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 over each section's sorted texts, one batch in memory at a time."""
-    section, digest = None, None
-    for batch in batches:
-        done = []
-        for sid, text in zip(batch["section_id"], batch["_text"], strict=True):
-            if sid != section:
-                if section is not None:
-                    done.append((section, digest.hexdigest()[:16]))
-                section, digest = sid, hashlib.sha256()
-            else:
-                digest.update(b" ")
-            digest.update(text.encode("utf-8"))
-        yield pd.DataFrame(done, columns=["section_id", "example_hash"])
-    if section is not None:
-        yield pd.DataFrame([(section, digest.hexdigest()[:16])], columns=["section_id", "example_hash"])
+def example_hash(texts: DataFrame) -> DataFrame:
+    """16 hex digits over a section's example texts and their places.
 
+    Each example is hashed with its place by SHA-256; the leading 52 bits are summed, modulo 2 ** 60. The sum needs no order,
+    so it is a partial aggregate for sections of any size. (A hash over the joined text would need one task per section.)
+    """
+    digest = F.sha2(F.concat_ws("|", F.col("pos").cast("string"), "_text"), 256)
+    part = F.conv(F.substring(digest, 1, 13), 16, 10).cast("decimal(38,0)")
+    total = (F.sum(part) % F.lit(1 << 60)).cast("bigint")
+    return texts.groupBy("section_id").agg(F.lpad(F.lower(F.hex(total)), 16, "0").alias("example_hash"))
 
-def example_hash(texts: DataFrame) -> DataFrame:
-    """16 hex digits of SHA-256 over a section's example texts joined in order.
 
-    The hash is defined over the joined text. Sections up to a few million characters are joined in
-    one expression; larger ones are streamed through a running digest in sorted order, which never
-    holds more than one batch.
+def _tails(texts: DataFrame) -> DataFrame:
+    """The last ``_SEAM`` characters of each example and the ones before it, joined by blanks.
+
+    Tails of 1, 2, 4, ... examples are put together by equi-joins on the place, so phrases over any number of short examples
+    are seen and no section is ordered in one task.
     """
-    sizes = texts.groupBy("section_id").agg(F.sum(F.length("_text") + 1).alias("_chars"))
-    sized = texts.join(sizes, "section_id")
-    small = (
-        sized.where(F.col("_chars") <= _DIRECT_HASH_CHARS)
-        .groupBy("section_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "_text"))).alias("_l"))
-        .select(
-            "section_id",
-            F.substring(
-                F.sha2(F.array_join(F.transform("_l", lambda x: x["_text"]), " "), 256), 1, 16
-            ).alias("example_hash"),
-        )
-    )
-    large = (
-        sized.where(F.col("_chars") > _DIRECT_HASH_CHARS)
-        .repartition("section_id")
-        .sortWithinPartitions("section_id", "pos")
-        .select("section_id", "_text")
-        .mapInPandas(_hash_stream, "section_id string, example_hash string")
-    )
-    return small.unionByName(large)
+    tails, step = texts.select("section_id", "pos", F.right("_text", F.lit(_SEAM)).alias("_tail")), 1
+    while step < _SEAM:
+        before = tails.select("section_id", (F.col("pos") + step).alias("pos"), F.col("_tail").alias("_before"))
+        longer = F.right(F.concat_ws(" ", "_before", "_tail"), F.lit(_SEAM))
+        tails = settle(tails.join(before, ["section_id", "pos"], "left").select("section_id", "pos", longer.alias("_tail")))
+        step *= 2
+    return tails
 
 
 def resolve_task_mode(examples: DataFrame, configured: DataFrame | None = None) -> DataFrame:
     """Text, visual or mixed mode of each section, from marker words in its examples.
 
-    Markers are found per example and per seam between neighbours (the examples count as one text
+    Markers are found per example and per seam between an example and those before it (the examples count as one text
     joined by blanks), then merged with map-side combine. ``examples.pos`` counts 0, 1, 2, ...
     ``configured`` may hold ``section_id, task_mode``.
     """
     text = F.lower(
         F.concat_ws(" ", *[tx.blank_to_null(c) for c in ("sample", "instruct", "context", "output")])
     )
-    texts = examples.select("section_id", F.col("pos").cast("bigint").alias("pos"), text.alias("_text"))
+    texts = settle(examples.select("section_id", F.col("pos").cast("bigint").alias("pos"), text.alias("_text")))
     # A piece is one character longer than any marker, so a phrase that spans the seam is whole in
     # it and so is the character before and after.
-    tails = texts.select(
-        "section_id", (F.col("pos") + 1).alias("pos"),
-        F.substring(F.col("_text"), -_SEAM, _SEAM).alias("_tail"),
-    )
+    tails = _tails(texts).withColumn("pos", F.col("pos") + 1)
     heads = texts.select("section_id", "pos", F.substring("_text", 1, _SEAM).alias("_head"))
     seams = tails.join(heads, ["section_id", "pos"]).select(
         "section_id", F.concat_ws(" ", "_tail", "_head").alias("_text")

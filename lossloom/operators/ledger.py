@@ -54,8 +54,11 @@ def recent_generated(ledger: DataFrame, rounds: DataFrame, p: Params = DEFAULTS)
     )
 
 
-def assign_ids(evals: DataFrame, ledger: DataFrame, order: str = "slot_id") -> DataFrame:
-    """Give evaluations consecutive ledger ids after the section's highest one."""
+_BY_SLOT = ("round_id", "slot_id")
+
+
+def assign_ids(evals: DataFrame, ledger: DataFrame, order: tuple[str, ...] = _BY_SLOT) -> DataFrame:
+    """Give evaluations consecutive ledger ids, by round and slot, after the section's highest one."""
     highest = ledger.groupBy("section_id").agg(F.max("ledger_id").alias("_max"))
     numbered = number_rows(evals, ["section_id"], order, "_pos")
     return (
@@ -65,7 +68,7 @@ def assign_ids(evals: DataFrame, ledger: DataFrame, order: str = "slot_id") -> D
     )
 
 
-def append_ledger(evals: DataFrame, ledger: DataFrame, order: str = "slot_id") -> DataFrame:
+def append_ledger(evals: DataFrame, ledger: DataFrame, order: tuple[str, ...] = _BY_SLOT) -> DataFrame:
     """Ledger followed by the finite evaluations under new ids."""
     kept, _ = split_finite(evals)
     names = schemas.columns(schemas.LEDGER)

@@ -15,15 +15,16 @@ from pyspark.sql import types as T
 
 from lossloom.functions import text as tx
 from lossloom.params import DEFAULTS, Params
+from lossloom.plans.workspace import settle
 
-# A key holding more than this share of all tokens is looked up by broadcast. Shares sum to one, so
+# A key holding more than this share of the rows is looked up by broadcast. Shares sum to one, so
 # there can be no more than 1 / HOT_SHARE such keys.
 HOT_SHARE = 1 / 2000
 BIGRAM_WEIGHT = 0.7
 
 
 def token_budget(df: DataFrame, p: Params = DEFAULTS, tokenize: Callable[[Column], Column] = tx.tokens) -> DataFrame:
-    """Add token counts of prompt and answer within the length limit.
+    """Add token counts of prompt and answer within the length limit, and whether the limit cut them.
 
     ``tokenize`` maps a text column to an array of tokens; it may wrap a pandas UDF.
     """
@@ -32,6 +33,7 @@ def token_budget(df: DataFrame, p: Params = DEFAULTS, tokenize: Callable[[Column
     return (
         df.withColumns({"prompt_tokens": F.size(prompt), "gold_tokens": F.size(answer)})
         .withColumn("token_length", total)
+        .withColumn("truncated", F.col("prompt_tokens") + F.col("gold_tokens") > p.max_length)
         .withColumn(
             "answer_tokens",
             F.greatest(F.lit(0), F.col("token_length") - F.least(F.col("prompt_tokens"), F.lit(p.max_length))),
@@ -48,41 +50,35 @@ def fit_ngram(corpus: DataFrame, text: str, tokenize: Callable[[Column], Column]
     pair = F.transform(
         F.col("t"), lambda x, i: F.struct(F.when(i > 0, F.get("t", i - 1)).otherwise("").alias("prev"), x.alias("token"))
     )
-    bigrams = (
-        toks.select(F.explode(pair).alias("p"))
-        .groupBy("p.prev", "p.token")
-        .agg(F.count("*").alias("n"))
-    )
-    # Everything else follows from the bigram counts, which are far smaller than the text.
-    unigrams = bigrams.groupBy("token").agg(F.sum("n").alias("n"))
+    # Everything else follows from the bigram counts, which are far smaller than the text and written once.
+    bigrams = settle(toks.select(F.explode(pair).alias("p")).groupBy("p.prev", "p.token").agg(F.count("*").alias("n")))
+    unigrams = settle(bigrams.groupBy("token").agg(F.sum("n").alias("n")))
     totals = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("vocab"))
     starts = bigrams.groupBy("prev").agg(F.sum("n").alias("prev_n"))
+    joined = _lookup(bigrams, starts, ["prev"], "prev_n")
     return {
         "totals": totals,
         "unigrams": unigrams,
-        "bigrams": bigrams.join(starts, "prev").select("prev", "token", "n", (F.col("n") / F.col("prev_n")).alias("p2")),
+        "bigrams": settle(joined.select("prev", "token", "n", (F.col("n") / F.col("prev_n")).alias("p2"))),
     }
 
 
-def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str, totals: DataFrame) -> DataFrame:
-    """Left join on ``keys`` that keeps frequent keys out of the shuffle.
+def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Left join on ``keys`` that keeps keys that many of the rows share out of the shuffle.
 
-    Keys above ``HOT_SHARE`` of all tokens number at most 1/HOT_SHARE and are broadcast as one
-    small map; the rest are shuffled and no longer skewed.
+    Keys that more than ``HOT_SHARE`` of the rows hold number at most 1/HOT_SHARE; their values are broadcast, present or
+    not, and the other rows are shuffled. ``rows`` is read twice; settle it first.
     """
-    hot = (
-        table.crossJoin(F.broadcast(totals.select("total")))  # totals is a single row
-        .where(F.col("n") > F.col("total") * HOT_SHARE)
-        .select(*keys, F.col(value).alias("_hot"))
-    )
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_k"))
+    total = counts.agg(F.sum("_k").alias("_all"))  # a single row
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_k") > F.col("_all") * HOT_SHARE).select(*keys)
+    hot = settle(hot.join(table.select(*keys, F.col(value).alias("_hot")), keys, "left").withColumn("_is_hot", F.lit(True)))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    cold = table.select(*keys, F.col(value).alias("_cold"))
     # A key already answered gets a salt, so that hot rows spread instead of meeting in one task.
-    salted = marked.withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("row_id", "pos"), F.lit(4096))).otherwise(-1)
-    )
-    joined = salted.join(cold.withColumn("_salt", F.lit(-1)), [*keys, "_salt"], "left")
-    return joined.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
+    salted = marked.withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).otherwise(-1))
+    cold = table.select(*keys, F.col(value).alias("_cold"), F.lit(-1).cast("bigint").alias("_salt"))
+    joined = salted.join(cold, [*keys, "_salt"], "left")
+    return joined.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt", "_is_hot")
 
 
 def answer_token_rows(df: DataFrame, row_id: str, p: Params = DEFAULTS, tokenize: Callable[[Column], Column] = tx.tokens) -> DataFrame:
@@ -107,10 +103,9 @@ def score_loss(
 ) -> DataFrame:
     """Loss per sample under an interpolated bigram model; null when no answer token is left."""
     totals = model["totals"]
-    rows = answer_token_rows(samples, row_id, p, tokenize)
-    rows = _lookup(rows, model["bigrams"], ["prev", "token"], "p2", totals)
-    uni = model["unigrams"].withColumn("uni_n", F.col("n"))
-    rows = _lookup(rows, uni, ["token"], "uni_n", totals)
+    rows = settle(answer_token_rows(samples, row_id, p, tokenize))
+    rows = settle(_lookup(rows, model["bigrams"], ["prev", "token"], "p2"))
+    rows = _lookup(rows, model["unigrams"].withColumnRenamed("n", "uni_n"), ["token"], "uni_n")
     single = (F.coalesce("uni_n", F.lit(0)) + 1) / (F.col("total") + F.col("vocab") + 1)
     prob = F.lit(BIGRAM_WEIGHT) * F.coalesce("p2", F.lit(0.0)) + F.lit(1 - BIGRAM_WEIGHT) * single
     scored = (

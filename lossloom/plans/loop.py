@@ -146,9 +146,9 @@ def fill_batch(tables: StageTables, step: int, pool: DataFrame, p: Params) -> No
     ledger = tables.upto("ledger", step - 1, schemas.LEDGER)
     used = tables.upto("batch", step - 1, _BATCH).where(F.col("sample_id").isNotNull())
     recycled, missing = bt.fetch_recycled(recipe, ledger)
-    chosen = bt.select_from_pool(
-        recipe, pool, lg.tag_counts(ledger, "section_id"), used.select("section_id", "sample_id"), p=p
-    )
+    counts = lg.tag_counts(ledger, "section_id")
+    # a few rows per section, read four times below; settled, its size is known before the pool's texts are joined
+    chosen = settle(bt.select_from_pool(recipe, pool, counts, used.select("section_id", "sample_id"), p=p))
     text = pool.select("section_id", "sample_id", "sample", "instruct", "gold_summary")
     generated = chosen.where(F.col("sample_id").isNotNull()).join(text, ["section_id", "sample_id"]).withColumns(
         {"source": F.lit("generated"), "source_ledger_id": F.lit(None).cast("bigint")}

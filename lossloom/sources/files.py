@@ -10,7 +10,8 @@ from lossloom.functions import text as tx
 from lossloom.operators import examples as ex
 from lossloom.operators.ledger import keep_last
 from lossloom.operators.ranking import number_rows
-from lossloom.plans.workspace import path_exists
+from lossloom.params import DEFAULTS
+from lossloom.plans.workspace import path_exists, settle
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -30,8 +31,8 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     return reader.parquet(path)
 
 
-def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("round_id",)) -> None:
-    """Write and replace only the partitions present in ``df``: a rerun changes nothing else."""
+def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("section_id", "round_id")) -> None:
+    """Write and replace only the partitions present in ``df``: other sections and rounds stay, and a rerun changes nothing."""
     df.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -50,7 +51,7 @@ def read_vault(spark: SparkSession, path: str, round_id: int | None = None) -> D
 
 
 def write_vault(vault: DataFrame, path: str) -> None:
-    """Snapshot per round; ``vault`` carries ``round_id``."""
+    """Snapshot per section and round; ``vault`` carries ``round_id``."""
     write_partitions(vault, path)
 
 
@@ -68,11 +69,15 @@ def write_state(state: DataFrame, path: str) -> None:
     state.select(*schemas.columns(schemas.STATE)).write.mode("overwrite").parquet(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines; all columns beyond the three fixed ones make the payload."""
+def write_events(events: DataFrame, path: str, stage: str) -> None:
+    """Write a stage's events as JSON lines; columns beyond the three fixed ones make the payload.
+
+    ``stage`` names what wrote them (for instance a step of the loop); writing a stage again replaces its events.
+    """
     extra = [c for c in events.columns if c not in ("timestamp", "section_id", "event_type")]
     line = F.to_json(F.struct("timestamp", "section_id", "event_type", *extra))
-    events.select(line.alias("value")).write.mode("append").text(path)
+    rows = events.select(line.alias("value"), F.lit(stage).alias("stage"))
+    rows.write.partitionBy("stage").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
 
 
 def read_events(spark: SparkSession, path: str, fields: str = "payload string") -> DataFrame:
@@ -96,8 +101,10 @@ def read_eval_losses(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.EVAL_LOSS, "csv")
 
 
-def number_requests(requests: DataFrame, existing: DataFrame | None = None, order: str = "slot_id") -> DataFrame:
-    """Consecutive request numbers per section after the highest one already written."""
+def number_requests(
+    requests: DataFrame, existing: DataFrame | None = None, order: tuple[str, ...] = ("round_id", "slot_id")
+) -> DataFrame:
+    """Consecutive request numbers per section, by round and slot, after the highest one already written."""
     numbered = number_rows(requests, ["section_id"], order, "_pos")
     if existing is None:
         return numbered.withColumn("request_no", F.col("_pos") + 1).drop("_pos")
@@ -144,6 +151,17 @@ def write_cache(responses: DataFrame, path: str) -> None:
     fresh.select(*names).write.mode("append").parquet(path)
 
 
-def write_planner_history(snapshots: DataFrame, path: str, keep: int = 50) -> None:
-    """Keep the newest snapshots per section, one partition per round."""
-    write_partitions(keep_last(snapshots, keep), path)
+def write_planner_history(snapshots: DataFrame, path: str, keep: int = DEFAULTS.history_limit) -> None:
+    """Add snapshots and keep the newest ``keep`` per section in the table, one partition per section.
+
+    Only the sections in ``snapshots`` are read and rewritten, at most ``keep`` rows each besides the new ones; a snapshot of
+    a round that is there already replaces it.
+    """
+    spark = snapshots.sparkSession
+    rows = snapshots
+    if path_exists(spark, path):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in snapshots.schema)
+        sections = snapshots.select("section_id").distinct()
+        old = read_table(spark, path, schema).join(sections, "section_id", "left_semi")
+        rows = old.join(snapshots.select("section_id", "round_id"), ["section_id", "round_id"], "left_anti").unionByName(snapshots)
+    write_partitions(settle(keep_last(rows, keep)), path, ("section_id",))

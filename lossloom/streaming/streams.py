@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from lossloom import schemas
 from lossloom.functions import text as tx
 from lossloom.operators import vault as vt
 from lossloom.params import DEFAULTS, Params
+from lossloom.plans.workspace import settle
 from lossloom.sources.files import read_ledger, read_vault, write_ledger, write_vault
 
 
@@ -51,69 +53,86 @@ _HEALTH = (
     "bad_round_streak int, base_override_round int, action string"
 )
 _STATE = (
-    "best double, best_round int, streak int, override int, rounds array<int>, losses array<double>, "
+    "best double, best_round int, streak int, override int, last int, rounds array<int>, losses array<double>, "
     "complete array<boolean>"
 )
 
 
 def stream_round_health(rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Health action per arriving round; the state is the best loss, the streak and a few rounds.
+    """Health action per arriving scored round; the state is the best loss, the streak and a few rounds.
 
-    Rounds of a section must arrive in order across micro-batches; within one they are sorted.
+    Unscored rounds give no row but stay in the state, as a complete one can be rolled back to. Rounds of a section must
+    arrive in order across micro-batches; within one they are sorted. A round that arrives after a later one was judged
+    gets the action ``late`` and changes neither the best loss nor the streak.
     """
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_round, streak, override, past = None, None, 0, None, []
+        best, best_round, streak, override, last, past = None, None, 0, None, None, []
         if state.exists:
-            best, best_round, streak, override, rs, ls, cs = state.get
+            best, best_round, streak, override, last, rs, ls, cs = state.get
             past = list(zip(rs, ls, cs, strict=True))
         out = []
         arrived = pd.concat(list(frames)).sort_values("round_id")
         for r, loss, complete in arrived[["round_id", "decision_loss", "complete"]].itertuples(index=False):
-            near = [(x, -q) for q, x, c in past if c and r - p.rollback_lookback <= q < r]
-            if best is None or loss < best * (1.0 - p.health_min_delta):
-                best, best_round, streak, override, action = loss, r, 0, None, "new_best"
-            elif loss > best * (1.0 + p.health_min_delta):
-                streak, action = streak + 1, "degraded"
-                if streak >= p.health_patience and near:
-                    streak, override, action = 0, -min(near)[1], "rollback_next"
-                elif streak >= p.health_patience:
-                    action = "rollback_unavailable"
-            else:
-                streak, action = 0, "stable"
-            past = [*past, (int(r), float(loss), bool(complete))][-p.rollback_lookback:]
-            out.append((key[0], int(r), float(loss), float(best), int(best_round), streak, override, action))
-        rs, ls, cs = (list(x) for x in zip(*past, strict=True))
-        state.update((float(best), int(best_round), streak, override, rs, ls, cs))
+            r, loss = int(r), None if pd.isna(loss) else float(loss)
+            late = last is not None and r <= last
+            near = [(q, x) for q, x, c in past if c and r - p.rollback_lookback <= q < r]
+            scored = [(x, -q) for q, x in near if x is not None and not pd.isna(x)]
+            target = -min(scored)[1] if scored else max((q for q, _ in near), default=None)
+            if loss is not None and not late:
+                if best is None or loss < best * (1.0 - p.health_min_delta):
+                    best, best_round, streak, override, action = loss, r, 0, None, "new_best"
+                elif loss > best * (1.0 + p.health_min_delta):
+                    streak, action = streak + 1, "degraded"
+                    if streak >= p.health_patience and target is not None:
+                        streak, override, action = 0, target, "rollback_next"
+                    elif streak >= p.health_patience:
+                        action = "rollback_unavailable"
+                else:
+                    streak, action = 0, "stable"
+            if loss is not None:
+                out.append((key[0], r, loss, best, best_round, streak, override, "late" if late else action))
+            last = r if last is None else max(last, r)
+            past = [x for x in [*past, (r, loss, bool(complete))] if x[0] >= last - p.rollback_lookback]
+        rs, ls, cs = ([x[k] for x in past] for k in range(3))
+        state.update((best, best_round, streak, override, last, rs, ls, cs))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _HEALTH.split(", ")])
-        yield frame.astype({"base_override_round": "Int32"})
+        yield frame.astype({"base_override_round": "Int32", "best_round_id": "Int32"})
 
-    return rounds.where(F.col("decision_loss").isNotNull()).groupBy("section_id").applyInPandasWithState(
-        judge, _HEALTH, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return rounds.groupBy("section_id").applyInPandasWithState(judge, _HEALTH, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_vault(ledger_rows: DataFrame, ledger_path: str, vault_path: str, checkpoint: str, p: Params = DEFAULTS):
     """Keep ledger and vault tables up to date from a stream of ledger rows.
 
-    A micro-batch holds whole rounds. Its rows replace their round's partition, and each round's
-    vault is built from the snapshot before it, so a repeated micro-batch changes nothing.
+    A micro-batch may hold any part of any rounds. Its rows are merged into the ledger by section and ledger id, and the
+    vaults of the rounds they touch, and of the later ones of the same sections, are built again, each from the section's
+    newest earlier snapshot. So a repeated micro-batch changes nothing, and gaps between rounds do no harm.
     """
     spark = ledger_rows.sparkSession
+    key = ["section_id", "round_id"]
 
     def close(rows: DataFrame, _batch_id: int) -> None:
-        rows = rows.select(*schemas.columns(schemas.LEDGER))
-        rows.persist()
-        write_ledger(rows, ledger_path)
-        closing = sorted(r.round_id for r in rows.select("round_id").distinct().collect())
-        for round_id in closing:
-            ledger = read_ledger(spark, ledger_path).where(F.col("round_id") <= round_id)
-            evals = ledger.where(F.col("round_id") == round_id).withColumn("slot_id", F.col("ledger_id"))
-            rounds = ledger.select("section_id").distinct().withColumn("current_round", F.lit(round_id))
-            before = read_vault(spark, vault_path, round_id - 1)
-            vault = vt.build_vault(ledger, evals, before, rounds, p)
-            write_vault(vault.withColumn("round_id", F.lit(round_id)), vault_path)
-        rows.unpersist()
+        rows = settle(rows.select(*schemas.columns(schemas.LEDGER)).dropDuplicates(["section_id", "ledger_id"]))
+        touched = rows.select(*key).distinct()
+        there = read_ledger(spark, ledger_path).join(touched, key, "left_semi")
+        kept = there.join(rows.select("section_id", "ledger_id"), ["section_id", "ledger_id"], "left_anti")
+        write_ledger(settle(kept.unionByName(rows)), ledger_path)
+
+        first = touched.groupBy("section_id").agg(F.min("round_id").alias("first"))
+        known = read_ledger(spark, ledger_path).select(*key).distinct().join(first, "section_id").where("round_id >= first")
+        wave = F.row_number().over(Window.partitionBy("section_id").orderBy("round_id"))
+        todo = settle(known.select("section_id", F.col("round_id").alias("current_round"), wave.alias("wave")))
+        for n in range(1, (todo.agg(F.max("wave")).first()[0] or 0) + 1):  # the most rounds that one section has to close
+            rounds = todo.where(F.col("wave") == n).drop("wave")
+            ledger = read_ledger(spark, ledger_path).join(rounds, "section_id").where("round_id <= current_round")
+            evals = ledger.where("round_id = current_round").withColumn("slot_id", F.col("ledger_id"))
+            earlier = read_vault(spark, vault_path).join(rounds, "section_id").where("round_id < current_round")
+            newest = earlier.groupBy("section_id").agg(F.max("round_id").alias("round_id"))
+            before = earlier.join(newest, key, "left_semi").drop("round_id", "current_round")
+            vault = vt.build_vault(ledger.drop("current_round"), evals.drop("current_round"), before, rounds, p)
+            named = vault.join(rounds.withColumnRenamed("current_round", "round_id"), "section_id")
+            write_vault(settle(named), vault_path)
 
     return (
         ledger_rows.writeStream.foreachBatch(close)
