@@ -7,9 +7,15 @@ with each one of its places masked finds all such pairs by equality. At a simila
 and 23 is more than three deviations above it; a masked chunk that agrees also finds many pairs beyond 23, which stay
 candidates. All candidates are confirmed on their full shingle sets.
 
-Equal shingle sets are one node. Candidates of one key are not paired all with all: each node is first compared to the
-smallest node of its key; components of the confirmed links are formed; only nodes of one key that are still in different
-components are paired. A pair inside one component cannot change the result, so no link between components is lost.
+Equal shingle sets are one node. Nodes of one key are not paired all with all:
+
+1. each node is a candidate with the smallest node of its key, and components of the confirmed links are formed;
+2. in each key that still has several components, nodes of different components are compared by their signatures and by a
+   finer sketch of their sets, and only a spanning forest of the similar ones, the most similar first, is confirmed;
+3. where several components are left, all similar pairs between them are confirmed.
+
+A pair inside one component cannot change the result, so no link between components is lost. The comparison by sketches
+only drops pairs that are many deviations below the required similarity.
 """
 
 from __future__ import annotations
@@ -19,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossloom.llm.common import byte_batches, byte_column, stage, text_or_empty
+from lossloom.llm.common import byte_batches, byte_column, shuffle_parts, stage, text_or_empty
 from lossloom.llm.graph import components
+from lossloom.llm.grouping import in_blocks, sorted_groups
 from lossloom.llm.shingles import mix, overlap, shingle_sets
 
 SYMBOLS, CHUNKS = 64, 12
@@ -30,6 +37,9 @@ _ADD = _SEED.integers(0, 1 << 64, SYMBOLS, np.uint64, endpoint=False)
 _KEY = _SEED.integers(0, 1 << 64, SYMBOLS, np.uint64, endpoint=False) | np.uint64(1)
 _MASKED = _SEED.integers(0, 1 << 64, SYMBOLS, np.uint64, endpoint=False)
 _CHUNK = np.array_split(np.arange(SYMBOLS), CHUNKS)
+BINS, BLOCK = 1024, 1024
+FAR = 28  # a signature distance that similar pairs exceed about three times in a million
+DEVIATIONS = 4.5  # by which a pair's sketch must fall short to be dropped
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -51,8 +61,30 @@ def masked_keys(signatures: np.ndarray) -> np.ndarray:
     return mix(keys).view(np.int64)
 
 
+def binned(grams: np.ndarray) -> np.ndarray:
+    """A sketch of a sorted array of hashes: for each of ``BINS`` ranges one byte of its smallest hash, 0 if it has none."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (grams >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = mix(grams[first]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of sketches and the sums of their sets' sizes: estimated similarity, and whether the pair stays a candidate.
+
+    The bins in use are a sample of the union without repetition, which makes the deviation smaller the more of it they hold.
+    """
+    used = ((x | y) > 0).sum(axis=1)
+    same = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(used, 1)
+    need = percent / 100
+    union = np.maximum(sizes / (1 + need), used)
+    deviation = np.sqrt(need * (1 - need) / np.maximum(used, 1) * np.maximum(0.05, 1 - used / np.maximum(union, 1)))
+    return same, same >= need - DEVIATIONS * deviation - 1 / np.maximum(used, 1)
+
+
 def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit digest of the shingle set) and signature (null without words)."""
+    """doc_id, n_shingles, set_key (a 128-bit digest of the shingle set), signature and bins (null without words)."""
 
     def rows(batches):
         import pyarrow as pa
@@ -62,11 +94,12 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
             sets = shingle_sets(*byte_column(batch, "text"), words)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signs = [signature(s).tobytes() if len(s) else None for s in sets]
+            bins = [binned(s).tobytes() if len(s) else None for s in sets]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            columns = [batch.column(0), sizes, pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
-            yield pa.record_batch(columns, ["doc_id", "n_shingles", "set_key", "signature"])
+            columns = [batch.column(0), sizes, *(pa.array(c, pa.binary()) for c in (keys, signs, bins))]
+            yield pa.record_batch(columns, ["doc_id", "n_shingles", "set_key", "signature", "bins"])
 
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, signature binary, bins binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -80,12 +113,11 @@ def _keys(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                signs = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, SYMBOLS)
+                signs = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 keys = masked_keys(signs).ravel()
-                node, size = (np.repeat(part.column(k).to_numpy(), SYMBOLS) for k in (0, 1))
-                yield pa.record_batch([pa.array(keys), pa.array(node), pa.array(size)], ["key", "node", "size"])
+                yield pa.record_batch([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], ["key", "node"])
 
-    return nodes.select("node", "n_shingles", "signature").mapInArrow(rows, "key long, node long, size long")
+    return nodes.select("node", "signature").mapInArrow(rows, "key long, node long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -113,6 +145,97 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return both.mapInArrow(similar, "a long, b long").distinct()
 
 
+def _pairs_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that stay candidates by their sketches."""
+    of = sets.select("node", "n_shingles", "bins")
+    both = pairs.join(of.withColumnsRenamed({"node": "b", "n_shingles": "size_b", "bins": "bins_b"}), "b")
+    both = both.join(of.withColumnsRenamed({"node": "a", "n_shingles": "size_a", "bins": "bins_a"}), "a")
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+                a, b = (part.column(k).to_numpy() for k in (4, 5))
+                keep = may_be_similar(x, y, a + b, percent)[1] & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "bins_a", "bins_b", "size_a", "size_b").mapInArrow(rows, "a long, b long").distinct()
+
+
+def _forest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs of a spanning forest, the most alike first."""
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k in np.argsort(-likeness, kind="stable").tolist():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def _pairs_in_keys(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) between components, from members (key, node, component): a spanning forest of each group of a
+    key, or all of them. A pair is looked at in the first key that its nodes share."""
+    spark = members.sparkSession
+    of = sets.groupBy("node").agg(F.first(F.struct("n_shingles", "signature", "bins")).alias("s")).select("node", "s.*")
+    rows = in_blocks(members, "key", "node", BLOCK).join(of, "node")
+    rows = rows.select("key", "low", "high", "block", "node", "component", "n_shingles", "signature", "bins")
+    # no merging of small partitions: a group's work grows with the square of its rows
+    rows = rows.repartition(shuffle_parts(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for (key, low, high), (block, node, component, size, sign, bins) in sorted_groups(batches, 3):
+            if len(node) < 2:
+                continue
+            node, component, size, block = (np.array(c) for c in (node, component, size, block))
+            sign = np.frombuffer(b"".join(sign), "<u2").reshape(-1, SYMBOLS)
+            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+            keys = masked_keys(sign)
+            found = []
+            for k in range(len(node)):
+                other = np.arange(k + 1, len(node))
+                other = other[component[other] != component[k]]
+                other = other[(100 * np.minimum(size[other], size[k]) >= percent * np.maximum(size[other], size[k]))]
+                if low != high:
+                    other = other[block[other] != block[k]]
+                other = other[(sign[other] != sign[k]).sum(axis=1) <= FAR]
+                if len(other):
+                    shared = np.where(keys[other] == keys[k], keys[other], np.iinfo(np.int64).max).min(axis=1)
+                    other = other[shared == key]
+                if len(other):
+                    alike, keep = may_be_similar(bins[other], bins[k], size[other] + size[k], percent)
+                    found += [(k, j, x) for j, x in zip(other[keep].tolist(), alike[keep].tolist())]
+            if found:
+                i, j, alike = (np.array(c) for c in zip(*found))
+                if forest:
+                    kept = _forest(component[i], component[j], alike)
+                    i, j = i[kept], j[kept]
+                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _still_mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the keys that have nodes of several components: key, node, component."""
+    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return stage(placed.join(mixed, "key"), "members")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 
@@ -120,37 +243,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     doc_id has no component_id and is kept. Rows that share a doc_id are one document: they share a component, and a link of
     one is a link of all. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     sketches = stage(sketch(docs, words), "sketches")
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    sets = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    first = F.first(F.struct("n_shingles", "signature", "bins"))
+    sets = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), first.alias("s")).select("set_key", "node", "s.*")
     sets = stage(sets, "sets")
     keys = _keys(sets)
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = stage(keys.join(shared.select("key", "low"), "key"), "members")  # keys that more than one node has
-
-    close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    sizes = sets.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    stars = members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"), "size").distinct()
-    stars = stars.join(sizes, F.col("a") == F.col("node"))
-    stars = stars.where("100 * size >= %d * least and 100 * most >= %d * size" % (percent, percent)).select("a", "b").distinct()
-    links = stage(confirm(stage(stars, "candidates"), docs, words, percent), "links")
+    members = stage(keys.join(shared.select("key", "low"), "key").select("key", "low", "node"), "members")  # keys of several nodes
+
+    stars = members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirm(stage(_pairs_by_sketch(stars, sets, percent), "candidates"), docs, words, percent)
     repeated = usable.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x < y").select("doc_id")
     same_id = usable.join(repeated, "doc_id").join(sets.select("set_key", "node"), "set_key")
     found = components(links.union(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
-
-    placed = members.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    placed = stage(placed.join(mixed, "key"), "members")
-    left = placed.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("in_a"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("in_b"))
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & close("size_a", "size_b"))
-    rest = rest.select("a", "b").distinct()
-    more = confirm(stage(rest, "candidates"), docs, words, percent)
-    found = components(more.union(found.select("component", "node")))
+    for forest in (True, False):
+        members = _still_mixed(members, found)
+        pairs = stage(_pairs_in_keys(members, sets, percent, forest), "candidates")
+        more = confirm(pairs, docs, words, percent)
+        found = components(more.union(found.select("component", "node")))
 
     named = sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    out = sketches.join(named, "set_key", "left")
+    out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
