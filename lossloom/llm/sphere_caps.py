@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lossloom.llm.common import shuffle_parts, stage
 from lossloom.llm.graph import components
+from lossloom.llm.grouping import in_blocks, sorted_groups
 
 MIN_COS, CODES, PER_VECTOR, PER_FILTER, BLOCK = 0.95, 16, 2, 1, 1024
 
@@ -94,28 +95,6 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _groups(batches, keys: int):
-    """Rows of sorted Arrow batches with equal first ``keys`` columns, as lists of column lists."""
-    held, last = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.column_stack([batch.column(k).to_numpy() for k in range(keys)])
-        cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
-        columns = [batch.column(k).to_pylist() for k in range(keys, batch.num_columns)]
-        for a, b in zip(cuts, cuts[1:]):
-            now, part = tuple(key[a].tolist()), [c[a:b] for c in columns]
-            if now == last:
-                for x, y in zip(held, part):
-                    x.extend(y)
-            else:
-                if held is not None:
-                    yield last, held
-                last, held = now, part
-    if held is not None:
-        yield last, held
-
-
 def _linked(min_cos: float, per_dim: int):
     """For each group the number of links first seen there, and the smallest node of the linked part, by node."""
 
@@ -123,7 +102,7 @@ def _linked(min_cos: float, per_dim: int):
         import pyarrow as pa
 
         out = []
-        for (flt, low, high), (block, node, copies, vector, filters) in _groups(batches, 3):
+        for (flt, low, high), (block, node, copies, vector, filters) in sorted_groups(batches, 3):
             if len(node) < 2:
                 continue
             singles = 4 * (flt // per_dim)  # bytes of a vector in floats
@@ -191,12 +170,7 @@ def similar_vectors(
     spread = classes.repartition(shuffle_parts(spark))
     caps = stage(_decode(spread, words, codes, per_vector), "caps")
     flat = caps.select("node", F.explode("filters").alias("filter"))
-    sizes = flat.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    placed = flat.join(sizes, "filter").select("filter", "node", mine.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    placed = placed.select("filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node")
-    rows = placed.join(caps, "node").select("filter", "low", "high", "block", "node", "copies", "vector", "filters")
+    rows = in_blocks(flat, "filter", "node", block).join(caps, "node").select("filter", "low", "high", "block", "node", "copies", "vector", "filters")
     # no merging of small partitions: a group's work grows with the square of its rows
     rows = rows.repartition(shuffle_parts(spark), "filter", "low", "high").sortWithinPartitions("filter", "low", "high")
     found = stage(rows.mapInArrow(_linked(min_cos, codes * words * words), "node long, links long, least long"), "links")
