@@ -1,0 +1,29 @@
+import corpus_pipeline
+from lossloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages(spark, awkward, tmp_path):
+    for docs, sf in ((spark.read.parquet(f"{SF}/documents.parquet"), SF), (awkward, SF), (awkward.limit(0), SF)):
+        sizes = [docs.count()]
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            path = f"{tmp_path}/{name}-{sizes[0]}-{len(sizes)}"
+            out.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+            sizes.append(docs.count())
+        assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[4] == sizes[3] <= sizes[5]
+
+
+def test_run(spark):
+    packed = corpus_pipeline.run(spark, SF)
+    assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert packed.count() > 0
