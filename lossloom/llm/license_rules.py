@@ -103,10 +103,9 @@ def recognised(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ended = F.regexp_replace("text", r"([.!?;])[ \t\n\r]+", "$1\u0001")
     sentences = rows.select("row", "doc_id", F.posexplode(F.split(ended, "\u0001")).alias("sentence", "body"))
-    forms = F.array_distinct(F.concat(F.array("body"), F.split("body", "\n")))
-    lines = sentences.select("row", "doc_id", "sentence", F.posexplode(forms).alias("line", "form"))
-    normal = F.trim(F.regexp_replace(F.lower("form"), "[^a-z0-9+]+", " "))
-    lines = lines.select("row", "doc_id", "sentence", "line", normal.alias("normal"))
+    forms = F.concat(F.array("body"), F.split("body", "\n"))
+    normal = F.transform(forms, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9+]+", " ")))
+    lines = sentences.select("row", "doc_id", "sentence", F.posexplode(F.array_distinct(normal)).alias("line", "normal"))
     return lines.join(F.broadcast(known), "normal").drop("normal")  # a fixed table of this module
 
 
@@ -161,7 +160,7 @@ def licences_sql() -> str:
       from (select row, doc_id, sentence, string_split(body, chr(10)) as parts from sentences where contains(body, chr(10)))),
     found as (select row, doc_id, sentence, min(line) as line, sentence_id from
       (select *, trim(regexp_replace(lower(form), '[^a-z0-9+]+', ' ', 'g')) as normal from lines) join known using (normal)
-      group by row, doc_id, sentence, form, sentence_id),
+      group by row, doc_id, sentence, normal, sentence_id),
     gaps as (select *, lag(sentence) over (partition by row order by sentence, line) as prev from found),
     seqs as (select row, doc_id, count(*) as n_sentences,
       string_agg(case when sentence - prev > {MAX_GAP + 1} then '|' else '' end || '<' || sentence_id || '>', '' order by sentence, line) as sequence
