@@ -3,12 +3,13 @@
 import difflib
 import math
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from lossloom.functions import text as tx
 from lossloom.operators import batch, examples, ledger, planner, policy, ranking, vault
-from lossloom.params import Params
+from lossloom.params import DEFAULTS, Params
 
 
 def test_finite_losses(spark):
@@ -20,23 +21,112 @@ def test_finite_losses(spark):
 
 def test_percentile_and_numbering_match_brute_force(spark):
     rng = random.Random(1)
-    rows = [("a" if rng.random() < 0.7 else "b", i, rng.choice([0.1, 0.2, rng.random()])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k string, i long, v double")
-    old = ranking._WHOLE_GROUP, ranking._MARGIN
-    ranking._WHOLE_GROUP, ranking._MARGIN = 100, 0.01  # force the bracket path
-    try:
-        got = {r.k: r.p for r in ranking.percentile_nr(df, ["k"], "v", 0.75, "p").collect()}
-    finally:
-        ranking._WHOLE_GROUP, ranking._MARGIN = old
-    for k in "ab":
-        vs = sorted(v for kk, _, v in rows if kk == k)
-        assert got[k] == vs[round((len(vs) - 1) * 0.75)]
-    pos = ranking.number_rows(df, ["k"], "i", "p", 50).collect()
-    for k in "ab":
+    sizes = {"a": 30_000, "b": 900, **{f"s{n}": n for n in range(1, 30)}}
+    rows = [(k, rng.randrange(1 << 60), rng.choice([0.1, 0.2, rng.random()])) for k, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(7).cache()
+    for p in (0.0, 0.1, 0.5, 0.75, 1.0):
+        got = {r.k: r.p for r in ranking.percentile_nr(df, ["k"], "v", p, "p").collect()}
+        for k in sizes:
+            vs = sorted(v for kk, _, v in rows if kk == k)
+            assert got[k] == vs[round((len(vs) - 1) * p)], (k, p)
+    pos = ranking.number_rows(df, ["k"], "i", "p").collect()  # sparse ids
+    for k in sizes:
         mine = sorted((r.i, r.p) for r in pos if r.k == k)
         assert [p for _, p in mine] == list(range(len(mine)))
 
 
+def test_tables_written_section_by_section(spark, tmp_path):
+    from lossloom import schemas
+    from lossloom.sources import files
+
+    row = lambda s, i, r: (s, i, "x", "", "", "", 1, 1.0, "t", r, "generated", None)
+    for part in ([row("A", 1, 3)], [row("B", 1, 3), row("B", 2, 4)], [row("007", 1, 3)], [row("A", 5, 3)]):
+        files.write_ledger(spark.createDataFrame(part, schemas.LEDGER), f"{tmp_path}/ledger")
+    got = {(r.section_id, r.ledger_id, r.round_id) for r in files.read_ledger(spark, f"{tmp_path}/ledger").collect()}
+    assert got == {("A", 5, 3), ("B", 1, 3), ("B", 2, 4), ("007", 1, 3)}
+    for r in range(5):
+        snap = spark.createDataFrame([("A", r, float(r))] + ([("B", r, 9.0)] if r == 1 else []), "section_id string, round_id int, v double")
+        files.write_planner_history(snap, f"{tmp_path}/history", keep=2)
+    kept = spark.read.parquet(f"{tmp_path}/history").collect()
+    assert sorted((r.section_id, r.round_id) for r in kept) == [("A", 3), ("A", 4), ("B", 1)]
+
+
+def test_every_row_gets_a_verdict(spark):
+    rows = [("A", 1, 1, "x"), ("A", 1, 1, "y"), ("A", 1, 11, "z"), ("A", 1, None, "w"), ("A", 1, 2, "x"), ("A", 1, 3, "x")]
+    frame = spark.createDataFrame([(*r, True, False) for r in rows], "section_id string, round_id int, slot_id int, tag string, is_exploration boolean, forced boolean")
+    counts = spark.createDataFrame([("A", f"t{k}", 1) for k in range(9)], "section_id string, tag string, n long")
+
+    def reasons(p):
+        return sorted(((r.slot_id or 0, r.tag, r.reject_reason) for r in batch.accept_diverse(frame, counts, p=p).collect()), key=str)
+
+    once = reasons(DEFAULTS)
+    assert len(once) == len(rows)
+    assert {x[2] for x in once if x[0] in (0, 11)} == {"slot_out_of_range"} and (1, "y", "duplicate_slot") in once
+    assert (1, "x", None) in once and (2, "x", "tag_in_round") in once and (3, "x", "tag_in_round") in once
+    twice = reasons(replace(DEFAULTS, tags_per_round=2))
+    assert (2, "x", None) in twice and (3, "x", "tag_in_round") in twice
+
+
+def test_two_rounds_of_a_section_take_different_rows(spark):
+    recipe = spark.createDataFrame(
+        [("A", r, s, "generate", t, None) for r in (1, 2) for s, t in ((1, "x"), (2, "x"), (3, "wide_variety"))],
+        "section_id string, round_id int, slot_id int, command string, tag string, failure_ledger_id long",
+    )
+    pool = spark.createDataFrame([("A", i, t, float(i)) for i, t in enumerate("xxxxyyyyzz")], "section_id string, sample_id long, tag string, score double")
+    counts = spark.createDataFrame([("A", "x", 3), ("A", "y", 2)], "section_id string, tag string, n long")
+    got = batch.select_from_pool(recipe, pool, counts).collect()
+    taken = [r.sample_id for r in got if r.sample_id is not None]
+    assert len(taken) == 6 == len(set(taken))
+
+
+def test_phrase_over_three_examples(spark):
+    from lossloom.operators.examples import resolve_task_mode
+
+    texts = ["please generate", "an", "image of it", "and other words"]
+    rows = [("A", k, t, None, None, None) for k, t in enumerate(texts)]
+    got = resolve_task_mode(spark.createDataFrame(rows, "section_id string, pos long, sample string, instruct string, context string, output string")).first()
+    one = [("A", 0, " ".join(texts), None, None, None)]
+    whole = resolve_task_mode(spark.createDataFrame(one, "section_id string, pos long, sample string, instruct string, context string, output string")).first()
+    assert got.mode_evidence == whole.mode_evidence and got.visual_score == whole.visual_score > 0
+
+
+def test_streamed_health_keeps_unscored_rounds(spark, tmp_path):
+    from lossloom import schemas
+    from lossloom.operators import health
+    from lossloom.streaming import streams
+
+    rng = random.Random(4)
+    rows = []
+    for s in range(12):
+        for r in range(25):
+            loss = None if rng.random() < 0.3 else round(1 + rng.random() + r * 0.05, 3)
+            rows.append((f"s{s}", r, loss, rng.random() < 0.7))
+    frame = spark.createDataFrame(rows, schemas.ROUND_LOSS)
+    for part in range(3):
+        frame.where((F.col("round_id") / 9).cast("int") == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    names = ["section_id", "round_id", "decision_loss", "best_eval_loss", "best_round_id", "bad_round_streak", "base_override_round", "action"]
+    want = sorted(health.round_health(frame).select(*names).collect(), key=str)
+    out = str(tmp_path / "out")
+    once = streams.stream_round_health(spark.readStream.schema(schemas.ROUND_LOSS).parquet(f"{tmp_path}/in"))
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-log").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(spark.read.parquet(out).select(*names).collect(), key=str)
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert {r.action for r in got} >= {"rollback_next", "degraded", "new_best"}
+
+
+def test_last_response_wins_and_tags_are_conformed(spark):
+    items = spark.createDataFrame([("A", 1, k + 1, k, "slot_tag") for k in range(2)], "section_id string, round_id int, slot_id int, generation_index int, tag string")
+    row = '{{"slot_id": {0}, "sample": "{1}", "instruct": "do it", "gold_summary": "g", "tag": "Hard: Good Tag"}}'
+    raw = spark.createDataFrame(
+        [("A", 1, 1, "[" + row.format(1, "old") + "]"), ("A", 1, 2, "[" + row.format(1, "new") + "]"), ("A", 1, 3, "broken")],
+        "section_id string, round_id int, response_no int, response string",
+    )
+    counts = spark.createDataFrame([("A", "good_tag", 3)], "section_id string, tag string, n long")
+    good, bad = batch.ingest_responses(raw, items, counts)
+    assert [(r.sample, r.tag, r.tag_match) for r in good.collect()] == [("new", "good_tag", "exact")]
+    assert sorted(r.reason for r in bad.collect()) == ["duplicate_slot_id", "invalid_json"]
+
+
 def _mutate(rng, s):
     s = list(s)
     for _ in range(rng.randint(0, 3)):
