@@ -155,7 +155,7 @@ def write_token_frames(
         from pyspark import TaskContext
 
         part, encode = TaskContext.get().partitionId(), encoder(vocabulary).ids
-        end, shards, writer, seen = END_ID.to_bytes(4, "little"), [], None, []
+        end, shards, writer = END_ID.to_bytes(4, "little"), [], None
         fs, root = file_system(folder)
 
         def close():
@@ -164,15 +164,16 @@ def write_token_frames(
             with fs.open_output_stream(own, compression=None) as out:
                 out.write(writer.finish())
             fs.move(own, name)
-            shards.append((f"{folder}/{name.rsplit('/', 1)[1]}", part, len(writer.docs), writer.n_ids, seen[0], seen[-1]))
+            known = [d for d, _, _ in writer.docs if d is not None]  # in ascending order
+            span = (known[0], known[-1]) if known else (None, None)
+            shards.append((f"{folder}/{name.rsplit('/', 1)[1]}", part, len(writer.docs), writer.n_ids, *span))
 
         for batch in byte_batches(batches, "text"):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    writer, seen = FrameWriter(frame_bytes), []
+                    writer = FrameWriter(frame_bytes)
                 writer.add(doc_id, encode(text) + end)
-                seen = [seen[0], doc_id] if seen else [doc_id, doc_id]
                 if writer.n_ids * 4 >= shard_bytes:
                     close()
                     writer = None
