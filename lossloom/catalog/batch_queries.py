@@ -814,3 +814,31 @@ register(
     lambda t: sc.score_with_model(_answers(t).select("row_id", "gold_summary"), _length_model).select("row_id", "loss"),
     "SELECT row_id, round(length(gold_summary) / 97, 6) AS loss FROM answers",
 )
+
+
+def _words_only(c):
+    """A user's tokenizer: runs of ASCII letters and digits."""
+    return F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda x: x != "")
+
+
+_WORDS = "len(list_filter(string_split_regex(array_to_string({}, ' '), '[^A-Za-z0-9]+'), lambda x: x <> ''))"
+register(
+    "token_budget_custom",
+    lambda t: sc.token_budget(_answers(t), tokenize=_words_only).select("row_id", "prompt_tokens", "gold_tokens", "token_length", "truncated"),
+    f"""SELECT row_id, CAST(np AS INTEGER) AS prompt_tokens, CAST(na AS INTEGER) AS gold_tokens, CAST(least(512, np + na) AS INTEGER) AS token_length, np + na > 512 AS truncated
+        FROM (SELECT row_id, {_WORDS.format('p')} AS np, {_WORDS.format('a')} AS na FROM answers)""",
+)
+
+
+def _count_generator(frames):
+    """A stand-in for a user's generator: answers with the length of the prompt."""
+    for frame in frames:
+        yield frame.assign(response="chars:" + frame["prompt"].str.len().astype(str))
+
+
+def _answered(t: Tables):
+    requests = t.pairs().select("conv_id", "turn", F.col("instruct").alias("prompt"))
+    return bt.answer_requests(requests, _count_generator).select("conv_id", "turn", "response")
+
+
+register("answer_requests", _answered, "SELECT conv_id, turn, 'chars:' || length(instruct) AS response FROM pairs")

@@ -125,7 +125,9 @@ def _loop(t: Tables) -> DataFrame:
         F.col("n_chars").cast("double").alias("score"), F.col("text").alias("sample"), F.lit("Summarize the text.").alias("instruct"),
         F.coalesce("lang", F.lit("none")).alias("gold_summary"),
     )
-    tables = run_rounds(t.spark, scratch_table(t.spark, "loop"), pool, _score, 3)
+    sections = t.documents().select(section_of(F.col("doc_id")).alias("section_id")).distinct()
+    losses = sections.withColumn("round_id", F.explode(F.array(*(F.lit(k) for k in range(3))))).select("section_id", "round_id", (2.0 + F.col("round_id") / 10).alias("validation_loss"))
+    tables = run_rounds(t.spark, scratch_table(t.spark, "loop"), pool, _score, 3, validation=losses)
     ledger = tables.upto("ledger", 3, schemas.LEDGER)
     return ledger.groupBy("section_id", "round_id").agg(
         F.count("*").alias("records"), F.count_if(F.col("source") == "recycled").alias("recycled"), F.avg("loss").alias("avg_loss")

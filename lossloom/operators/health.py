@@ -18,13 +18,26 @@ def _by_round():
     return Window.partitionBy("section_id").orderBy("round_id")
 
 
-def round_losses(ledger: DataFrame) -> DataFrame:
-    """Average finite training loss per section and round."""
-    return (
+def round_losses(ledger: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """Decision loss per section and round: the validation loss where there is one, else the average finite training loss.
+
+    ``validation``: ``section_id, round_id, validation_loss``; of several finite losses of a round the average counts.
+    """
+    trained = (
         ledger.where(tx.is_finite("loss"))
         .groupBy("section_id", "round_id")
         .agg(F.avg("loss").alias("decision_loss"))
     )
+    if validation is None:
+        return trained
+    valid = (
+        validation.where(tx.is_finite("validation_loss"))
+        .groupBy("section_id", F.col("round_id").cast("int").alias("round_id"))
+        .agg(F.avg(tx.finite_or_null("validation_loss")).alias("_valid"))
+    )
+    return trained.join(valid, ["section_id", "round_id"], "left").select(
+        "section_id", "round_id", F.coalesce("_valid", "decision_loss").alias("decision_loss")
+    )
 
 
 def running_best(rounds: DataFrame, loss: str = "decision_loss") -> DataFrame:

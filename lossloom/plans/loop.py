@@ -92,6 +92,9 @@ def plan_recipe(
         weakness = spark.createDataFrame([], "section_id string, rank int, tag string")
 
     health = settle(hl.round_health(history, p))  # one row per round, read several times below
+    overrides = hl.latest_health(health).select("section_id", "base_override_round")
+    bases = hl.base_checkpoint(history, rounds.join(overrides, "section_id", "left"))
+    tables.write(bases, "base_checkpoints", step)  # where training of the step starts from
     latest = hl.latest_health(health)
     plateau = latest.select("section_id", "round_id").join(
         hl.plateau_score(health), ["section_id", "round_id"]
@@ -161,12 +164,26 @@ def fill_batch(tables: StageTables, step: int, pool: DataFrame, p: Params) -> No
         .unionByName(chosen.where(F.col("sample_id").isNull()).select(*keys, F.lit("pool_exhausted").alias("reason")))
         .unionByName(rejected.select(*keys, F.array_join("violations", ",").alias("reason")))
     )
-    tables.write(problems, "batch_problems", step)
     tables.write(batch.join(ids, keys, "left").select(*schemas.columns(_BATCH)), "batch", step)
+    gates = gate_problems(recipe, tables.at("batch", step, _BATCH), p)
+    tables.write(problems.unionByName(gates), "batch_problems", step)
+
+
+def gate_problems(recipe: DataFrame, batch: DataFrame, p: Params) -> DataFrame:
+    """Recipes and batches that break a rule: ``section_id, round_id, slot_id, reason``, without a slot."""
+    no_slot = F.lit(None).cast("int").alias("slot_id")
+    broken = po.validate_recipe(recipe, p).where("not valid")
+    told = F.format_string("invalid_recipe: %d slots, %d broken", "slot_count", "bad_slots")
+    sizes = bt.validate_batch_size(batch, p)
+    wrong = sizes.where("not exact or missing_gold > 0")
+    size = F.format_string("batch_of_%d: %d without gold", "size", "missing_gold")
+    return broken.select("section_id", "round_id", no_slot, told.alias("reason")).unionByName(
+        wrong.select("section_id", "round_id", no_slot, size.alias("reason"))
+    )
 
 
-def close_round(tables: StageTables, step: int, p: Params = DEFAULTS) -> None:
-    """Append finite evaluations, rebuild the vault, note the round's loss and advance.
+def close_round(tables: StageTables, step: int, p: Params = DEFAULTS, validation: DataFrame | None = None) -> None:
+    """Append finite evaluations, rebuild the vault, note the round's decision loss and advance.
 
     The state table is written last and marks the step as done.
     """
@@ -185,7 +202,7 @@ def close_round(tables: StageTables, step: int, p: Params = DEFAULTS) -> None:
         ledger = tables.upto("ledger", step, schemas.LEDGER)
         tables.write(vt.build_vault(ledger, kept, committed, rounds, p), "vault", step)
     if not tables.done("round_losses", step):
-        losses = hl.round_losses(tables.at("ledger", step, schemas.LEDGER))
+        losses = hl.round_losses(tables.at("ledger", step, schemas.LEDGER), validation)
         tables.write(losses.withColumn("complete", F.lit(True)), "round_losses", step)
     tables.write(
         advanced.withColumn("current_round", F.col("current_round") + 1).select(
@@ -198,12 +215,14 @@ def close_round(tables: StageTables, step: int, p: Params = DEFAULTS) -> None:
 def run_rounds(
     spark: SparkSession, root: str, pool: DataFrame, score: Callable[[DataFrame], DataFrame], n: int = 1,
     examples: DataFrame | None = None, weakness: DataFrame | None = None, stop_after_batch: bool = False,
-    p: Params = DEFAULTS,
+    p: Params = DEFAULTS, validation: DataFrame | None = None,
 ) -> StageTables:
     """Run ``n`` rounds of every section in the pool, resuming what is unfinished.
 
     ``pool``: ``section_id, sample_id, tag, score, sample, instruct, gold_summary``. ``score`` adds
-    ``loss`` and ``token_length`` to batch rows.
+    ``loss`` and ``token_length`` to batch rows. ``validation`` (``section_id, round_id, validation_loss``) decides on health
+    and rollback where it has a loss for a round. Short batches and broken recipes are noted in ``batch_problems``; the
+    checkpoint each step starts from is in ``base_checkpoints``.
     """
     tables = StageTables(spark, root)
     start(tables, pool)
@@ -214,7 +233,7 @@ def run_rounds(
         step = tables.next_step()
         if not tables.done("recipe", step):
             plan_recipe(tables, step, profiles, weakness, p)
-        if not tables.done("batch", step):
+        if not tables.done("batch_problems", step):
             fill_batch(tables, step, pool, p)
         if stop_after_batch:
             break
@@ -223,5 +242,5 @@ def run_rounds(
             names = schemas.columns(schemas.EVALUATION)
             typed = scored.withColumn("slot_id", F.col("slot_id").cast("bigint"))
             tables.write(typed.select(*names), "evaluations", step)
-        close_round(tables, step, p)
+        close_round(tables, step, p, validation)
     return tables
