@@ -444,22 +444,44 @@ register(
     lambda t: blueprints(t).select(*BP_COLS, text("avoid_tags")),
     "SELECT * FROM blueprints",
 )
+def _shown(constraints: str = "constraints"):
+    """Constraint lines without the two that print confidences and the indented lists."""
+    hidden = lambda x: x.startswith("- Task shape: ") | x.startswith("- Task mode: ") | x.startswith("-   - ")
+    return F.array_join(F.filter(F.split(constraints, "\n"), lambda x: ~hidden(x)), "\n")
+
+
+def _labels() -> str:
+    named = {
+        "Generation intent": "generation_intent", "Target tag": "target_tag_hint", "Novelty goal": "novelty_goal", "Difficulty": "difficulty", "Domain": "domain_hint",
+        "Input shape": "input_shape", "Output shape": "output_shape", "Reasoning": "reasoning_requirement", "Context policy": "context_policy", "Modality": "modality_hint",
+    }
+    return ", ".join(f"'{label}: ' || {column} || '.'" for label, column in named.items())
+
+
 register(
     "constraints_text",
-    lambda t: pl.constraints_text(blueprints(t)).select(
-        "section_id", "slot_id", F.size(F.split("constraints", "\n")).alias("lines"),
-        F.regexp_extract("constraints", "- Domain: ([^\n]*)\\.", 1).alias("domain"), F.col("constraints").contains(pl.HARD_NOTE).alias("hard"),
-    ),
+    lambda t: pl.constraints_text(blueprints(t)).select("section_id", "slot_id", _shown().alias("shown"), F.size(F.split("constraints", "\n")).alias("lines")),
     # 14 fixed lines, plus what applies
-    """SELECT section_id, slot_id, CAST(14 + CASE WHEN generation_intent = 'hard' THEN 1 + CASE WHEN shape_id = 'assistant_qa' THEN 5 ELSE 4 END ELSE 0 END
-       + (generation_intent = 'validation')::INTEGER + (shape_id = 'assistant_qa')::INTEGER + (avoid_tags <> '')::INTEGER
-       + 1 + (SELECT least(3, count(DISTINCT substr(instruct, 1, 140))) FROM recent25 r WHERE r.section_id = b.section_id)
-       + 1 + (SELECT least(3, count(DISTINCT sample)) FROM recent25 r WHERE r.section_id = b.section_id) AS INTEGER) AS lines,
-       domain_hint AS domain, generation_intent = 'hard' AS hard FROM blueprints b""",
+    f"""SELECT section_id, slot_id, CAST(14 + CASE WHEN generation_intent = 'hard' THEN 1 + CASE WHEN shape_id = 'assistant_qa' THEN 5 ELSE 4 END ELSE 0 END
+       + (generation_intent = 'validation')::INTEGER + (shape_id = 'assistant_qa')::INTEGER + (avoid_tags <> '')::INTEGER + 1 + ni + 1 + ns AS INTEGER) AS lines,
+       array_to_string(list_transform(list_filter([{_labels()},
+         CASE resolved_task_mode WHEN 'text' THEN '{pl.MODE_NOTES["text"]}' WHEN 'visual' THEN '{pl.MODE_NOTES["visual"]}' ELSE '{pl.MODE_NOTES["mixed"]}' END,
+         CASE WHEN generation_intent = 'hard' THEN '{pl.HARD_NOTE}' END, CASE WHEN generation_intent = 'validation' THEN '{pl.VALIDATION_NOTE}' END,
+         CASE WHEN shape_id = 'assistant_qa' THEN '{pl.QUESTION_NOTE}' END, CASE WHEN avoid_tags <> '' THEN 'Avoid overused tags: ' || replace(avoid_tags, '|', ', ') || '.' END,
+         CASE WHEN ni > 0 THEN 'Stay away from these recent instructions:' END, CASE WHEN ns > 0 THEN 'Stay away from these recent samples:' END, '{pl.CLOSING_NOTE}'],
+         lambda x: x IS NOT NULL), lambda x: '- ' || x), chr(10)) AS shown
+       FROM (SELECT b.*, (SELECT least(3, count(DISTINCT substr(instruct, 1, 140))) FROM recent25 r WHERE r.section_id = b.section_id) AS ni,
+                    (SELECT least(3, count(DISTINCT sample)) FROM recent25 r WHERE r.section_id = b.section_id) AS ns FROM blueprints b)""",
 )
 q.PARTS["recent25"] = "SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY ledger_id DESC) <= 25"
 
 
+_SLOTS = (
+    "array<struct<slot_id: int, curriculum_focus: string, generation_intent: string, shape_id: string, forced: boolean, input_shape: string, "
+    "output_shape: string, reasoning_requirement: string, difficulty: string, domain_hint: string, target_tag_hint: string>>"
+)
+
+
 def _exploration(t: Tables):
     none = F.array().cast("array<struct<tag:string,reason:string,instruct:string,sample:string>>")
     tried = F.when(
@@ -471,26 +493,31 @@ def _exploration(t: Tables):
     empty = F.array().cast("array<string>")
     lines = pl.exploration_text(F.coalesce("used", empty), F.coalesce("dominant", empty), F.col("forced"), tried)
     return blueprints(t).join(dominant, "section_id", "left").join(used, "section_id", "left").select(
-        "section_id", "slot_id", F.size(F.split(pl.combine_constraints(lines, F.lit("  "), F.lit(fx.NO_CONSTRAINTS)), "\n")).alias("lines")
+        "section_id", "slot_id", pl.combine_constraints(lines, F.lit("  "), F.lit(fx.NO_CONSTRAINTS)).alias("lines")
     )
 
 
 register(
     "exploration_text",
     _exploration,
-    """SELECT b.section_id, b.slot_id, CAST(2 + 2 * b.forced::INTEGER + (SELECT count(*) > 0 FROM round_tags u WHERE u.section_id = b.section_id)::INTEGER
-       + (SELECT count(*) > 0 FROM plan_counts c WHERE c.section_id = b.section_id AND c.n >= 3 AND c.n / c.total >= 0.35)::INTEGER
-       + CASE WHEN b.slot_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS lines FROM blueprints b""",
+    """SELECT section_id, slot_id, array_to_string(list_transform(list_filter([
+         'Explore: choose a task unlike those already in this round.', 'Name the category yourself; a rare or new one is best.',
+         CASE WHEN forced THEN 'Put a short factual passage in the sample and ask one question it answers.' END,
+         CASE WHEN forced THEN 'Answer only from that passage; tag it contextual_qa or factual_qa.' END,
+         'Tags used in this round: ' || used || '.', 'Categories that dominate: ' || dominant || '.',
+         CASE WHEN slot_id % 2 = 0 THEN 'Rejected so far:' END, CASE WHEN slot_id % 2 = 0 THEN '1. tag=view; reason=tag_in_round; instruction=i; sample=s' END],
+         lambda x: x IS NOT NULL), lambda x: '- ' || x), chr(10)) AS lines
+       FROM (SELECT b.*, (SELECT string_agg(DISTINCT tag, ', ' ORDER BY tag) FROM recipe u WHERE u.section_id = b.section_id AND u.command = 'recycle') AS used,
+               (SELECT string_agg(tag, ', ' ORDER BY tag) FROM plan_counts c WHERE c.section_id = b.section_id AND c.n >= 3 AND c.n / c.total >= 0.35) AS dominant FROM blueprints b)""",
 )
 register(
     "planner_snapshot",
     lambda t: pl.planner_snapshot(blueprints(t), t.once("modes", lambda: modes(t))).select(
-        "section_id", "round_id", "resolved_task_mode", "mode_source", F.size("blocked_tags").alias("blocked"),
-        F.json_array_length("generation_slots").alias("slots"),
+        "section_id", "round_id", "resolved_task_mode", "mode_source", text("blocked_tags"), F.inline(F.from_json("generation_slots", _SLOTS))
     ),
     "SELECT b.section_id, b.round_id, m.resolved_task_mode, CASE WHEN m.task_mode <> 'auto' THEN 'explicit_task_mode' ELSE 'original_user_examples' END AS mode_source, "
-    "CASE WHEN m.resolved_task_mode = 'text' THEN 7 ELSE 0 END AS blocked, CAST(count(*) AS INTEGER) AS slots "
-    "FROM blueprints b JOIN modes m USING (section_id) GROUP BY ALL",
+    f"CASE WHEN m.resolved_task_mode = 'text' THEN '{'|'.join(fx.VISUAL_TAGS)}' ELSE '' END AS blocked_tags, b.slot_id, b.curriculum_focus, b.generation_intent, b.shape_id, "
+    "b.forced, b.input_shape, b.output_shape, b.reasoning_requirement, b.difficulty, b.domain_hint, b.target_tag_hint FROM blueprints b JOIN modes m USING (section_id)",
 )
 
 # --- requests and cache -----------------------------------------------------------------------
@@ -531,8 +558,10 @@ register(
 )
 register(
     "request_payload",
-    lambda t: bt.request_payload(_requests(t)).select("section_id", "slots", F.get_json_object("payload", "$[0].prompt").alias("prompt")),
-    "SELECT section_id, count(*) AS slots, arg_min(prompt, slot_id) AS prompt FROM requests GROUP BY 1",
+    lambda t: bt.request_payload(_requests(t)).select(
+        "section_id", "slots", F.inline(F.from_json("payload", "array<struct<slot_id: int, curriculum_focus: string, generation_intent: string, prompt: string>>"))
+    ),
+    "SELECT section_id, count(*) OVER (PARTITION BY section_id) AS slots, slot_id, curriculum_focus, generation_intent, prompt FROM requests",
 )
 
 # --- batch ------------------------------------------------------------------------------------

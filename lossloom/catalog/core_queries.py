@@ -36,14 +36,14 @@ register(
 register(
     "split_finite",
     lambda t: _split(t),
-    "SELECT section_id, round_id, CASE WHEN isfinite(try_cast(loss AS DOUBLE)) THEN 'kept' ELSE 'dropped' END AS side, count(*) AS n "
-    "FROM evals GROUP BY 1, 2, 3",
+    "SELECT section_id, round_id, CASE WHEN isfinite(try_cast(loss AS DOUBLE)) THEN 'kept' ELSE 'dropped' END AS side, slot_id, tag "
+    "FROM evals",
 )
 
 
 def _split(t: Tables):
     kept, dropped = lg.split_finite(t.raw_evaluations())
-    side = lambda df, s: df.groupBy("section_id", "round_id").agg(F.count("*").alias("n")).withColumn("side", F.lit(s))
+    side = lambda df, s: df.select("section_id", "round_id", F.lit(s).alias("side"), "slot_id", "tag")
     return side(kept, "kept").unionByName(side(dropped, "dropped"))
 
 
