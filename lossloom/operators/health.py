@@ -6,11 +6,13 @@ rounds a section has run, never by its number of records.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lossloom.functions import text as tx
+from lossloom.operators.folds import fold_rounds
 from lossloom.params import DEFAULTS, Params
 
 
@@ -88,74 +90,53 @@ def rollback_target(rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
+def judge_round(state: tuple, round_id: int, loss: float, target: int | None, p: Params) -> tuple[tuple, str]:
+    """State (best loss, its round, bad streak, override) after a scored round, and the action it calls for."""
+    best, best_round, streak, override = state
+    if best is None or loss < best * (1.0 - p.health_min_delta):
+        return (loss, round_id, 0, None), "new_best"
+    if not loss > best * (1.0 + p.health_min_delta):
+        return (best, best_round, 0, override), "stable"
+    streak += 1
+    if streak < p.health_patience:
+        return (best, best_round, streak, override), "degraded"
+    if target is None:
+        return (best, best_round, streak, override), "rollback_unavailable"
+    return (best, best_round, 0, target), "rollback_next"
+
+
+_EVENT = (
+    "decision_loss double, previous_best_loss double, previous_raw_best_loss double, best_eval_loss double, best_round_id int, "
+    "raw_best_eval_loss double, raw_best_round_id int, bad_round_streak int, base_override_round int, rollback_round int, action string"
+)
+
+
 def round_health(rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Action per round from an ordered fold: best loss, bad streak and rollback override.
 
     The best loss moves only on a material gain, so each step needs the state before it. The
     rollback target does not depend on that state and is found beforehand by a window.
     """
-    better = f"(a.best IS NULL OR x.loss < a.best * {1.0 - p.health_min_delta!r}D)"
-    worse = f"(a.best IS NOT NULL AND x.loss > a.best * {1.0 + p.health_min_delta!r}D)"
-    tired = f"({worse} AND a.streak + 1 >= {p.health_patience})"
-    roll = f"({tired} AND x.target IS NOT NULL)"
-    raw = "(a.raw IS NULL OR x.loss < a.raw)"
-    state = {
-        "best": f"if({better}, x.loss, a.best)",
-        "best_round": f"if({better}, x.round_id, a.best_round)",
-        "raw": f"if({raw}, x.loss, a.raw)",
-        "raw_round": f"if({raw}, x.round_id, a.raw_round)",
-        "streak": f"CASE WHEN {better} OR NOT {worse} OR {roll} THEN 0 ELSE a.streak + 1 END",
-        "override": f"CASE WHEN {better} THEN NULL WHEN {roll} THEN x.target ELSE a.override END",
-    }
-    action = (
-        f"CASE WHEN {better} THEN 'new_best' WHEN {roll} THEN 'rollback_next' "
-        f"WHEN {tired} THEN 'rollback_unavailable' WHEN {worse} THEN 'degraded' ELSE 'stable' END"
-    )
-    event = {
-        "round_id": "x.round_id",
-        "decision_loss": "x.loss",
-        "previous_best_loss": "a.best",
-        "previous_raw_best_loss": "a.raw",
-        "best_eval_loss": state["best"],
-        "best_round_id": state["best_round"],
-        "raw_best_eval_loss": state["raw"],
-        "raw_best_round_id": state["raw_round"],
-        "bad_round_streak": state["streak"],
-        "base_override_round": state["override"],
-        "rollback_round": f"if({roll}, x.target, NULL)",
-        "action": action,
-    }
-    pack = lambda d: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in d.items()) + ")"
-    event_type = (
-        "array<struct<round_id:int,decision_loss:double,previous_best_loss:double,"
-        "previous_raw_best_loss:double,best_eval_loss:double,best_round_id:int,"
-        "raw_best_eval_loss:double,raw_best_round_id:int,bad_round_streak:int,"
-        "base_override_round:int,rollback_round:int,action:string>>"
-    )
-    start = {
-        "best": "CAST(NULL AS DOUBLE)", "best_round": "CAST(NULL AS INT)",
-        "raw": "CAST(NULL AS DOUBLE)", "raw_round": "CAST(NULL AS INT)",
-        "streak": "0", "override": "CAST(NULL AS INT)", "events": f"CAST(array() AS {event_type})",
-    }
-    step = {**state, "events": f"concat(a.events, CAST(array({pack(event)}) AS {event_type}))"}
-    fold = f"aggregate(steps, {pack(start)}, (a, x) -> {pack(step)}, a -> a.events)"
+
+    def step(state: tuple, row) -> tuple[tuple, tuple]:
+        judged, raw, raw_round = state
+        loss, target = float(row.loss), None if pd.isna(row.target) else int(row.target)
+        after, action = judge_round(judged, int(row.round_id), loss, target, p)
+        lower = raw is None or loss < raw
+        raw_after = (loss, int(row.round_id)) if lower else (raw, raw_round)
+        best, best_round, streak, override = after
+        rolled = target if action == "rollback_next" else None
+        return (after, *raw_after), (loss, judged[0], raw, best, best_round, *raw_after, streak, override, rolled, action)
+
     steps = (
         rollback_target(rounds, p)
         .where(F.col("decision_loss").isNotNull())
-        .groupBy("section_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("round_id").cast("int").alias("round_id"),
-                        F.col("decision_loss").alias("loss"),
-                        F.col("target_round").cast("int").alias("target"),
-                    )
-                )
-            ).alias("steps")
+        .select(
+            "section_id", F.col("round_id").cast("int").alias("round_id"), F.col("decision_loss").alias("loss"),
+            F.col("target_round").cast("int").alias("target"),
         )
     )
-    return steps.select("section_id", F.explode(F.expr(fold)).alias("e")).select("section_id", "e.*")
+    return fold_rounds(steps, step, ((None, None, 0, None), None, None), _EVENT)
 
 
 def latest_health(health: DataFrame) -> DataFrame:

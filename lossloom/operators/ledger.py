@@ -45,9 +45,10 @@ def latest_round(ledger: DataFrame) -> DataFrame:
 def recent_generated(ledger: DataFrame, rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Generated rows of the last rounds with a loss worth keeping, for refilling the vault."""
     first = F.greatest(F.lit(0), F.col("current_round") - (p.vault_refill_rounds - 1))
+    lowest = rounds.agg(F.min(first)).first()[0]  # one number; as a literal it prunes partitions
     return (
         generated_only(ledger)
-        .where(F.col("loss") >= p.vault_refill_floor)
+        .where((F.col("loss") >= p.vault_refill_floor) & (F.col("round_id") >= F.lit(lowest or 0)))
         .join(rounds.select("section_id", "current_round"), "section_id")
         .where(F.col("round_id") >= first)
         .drop("current_round")

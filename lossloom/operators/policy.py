@@ -17,6 +17,7 @@ from lossloom.functions import text as tx
 from lossloom.operators import vault as vt
 from lossloom.operators.ledger import declared_generated, generated_only, ordered_union
 from lossloom.operators.ranking import percentile_nr, top_n
+from lossloom.operators.folds import fold_rounds
 from lossloom.params import DEFAULTS, Params
 
 _STRINGS = "array<string>"
@@ -312,28 +313,15 @@ def learning_pressure(scores: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         )
         .withColumn("hits", F.count_if("candidate").over(recent))
     )
-    fold = (
-        "aggregate(steps, named_struct('until', -1, 'out', CAST(array() AS array<struct<r:int,on:boolean,until:int>>)), "
-        "(a, x) -> named_struct("
-        f"'until', if(x.ready AND x.r > a.until, x.r + {p.pressure_cooldown}, a.until), "
-        "'out', concat(a.out, array(named_struct('r', x.r, 'on', x.ready AND x.r > a.until, "
-        f"'until', if(x.ready AND x.r > a.until, x.r + {p.pressure_cooldown}, a.until))))), "
-        "a -> a.out)"
-    )
-    ready = F.col("candidate") & (F.col("hits") >= p.pressure_min_hits)
-    folded = (
-        judged.groupBy("section_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col("round_id").cast("int").alias("r"), ready.alias("ready")))
-            ).alias("steps")
-        )
-        .select("section_id", F.explode(F.expr(fold)).alias("e"))
-        .select(
-            "section_id", F.col("e.r").alias("round_id"), F.col("e.on").alias("hard_active"),
-            F.col("e.until").alias("cooldown_until"),
-        )
-    )
+
+    def step(until: int, row) -> tuple[int, tuple]:
+        active = bool(row.ready) and row.round_id > until
+        until = int(row.round_id) + p.pressure_cooldown if active else until
+        return until, (active, until)
+
+    ready = F.coalesce(F.col("candidate") & (F.col("hits") >= p.pressure_min_hits), F.lit(False))
+    steps = judged.select("section_id", F.col("round_id").cast("int").alias("round_id"), ready.alias("ready"))
+    folded = fold_rounds(steps, step, -1, "hard_active boolean, cooldown_until int")
     return judged.join(folded, ["section_id", "round_id"]).withColumn(
         "hard_slots", F.when(F.col("hard_active"), min(p.hard_slots, p.batch_size)).otherwise(0)
     )

@@ -54,9 +54,17 @@ def tag_summary(ledger: DataFrame, *keys: str) -> DataFrame:
 
 
 def ledger_rollup(ledger: DataFrame) -> DataFrame:
-    """Totals at section, round and tag level in one pass; ``level`` counts the keys in use."""
-    return ledger.rollup("section_id", "round_id", "tag").agg(
-        F.count("*").alias("records"), F.avg("loss").alias("avg_loss"), *_sources(),
+    """Totals at section, round and tag level; ``level`` counts the keys in use.
+
+    The ledger is read once into (section, round, tag) partial sums, and only those are rolled up.
+    """
+    recycled = F.col("source").eqNullSafe("recycled")
+    per_tag = ledger.groupBy("section_id", "round_id", "tag").agg(
+        F.count("*").alias("n"), F.sum("loss").alias("s"), F.count("loss").alias("k"), F.count_if(recycled).alias("r")
+    )
+    return per_tag.rollup("section_id", "round_id", "tag").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), (F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("avg_loss"),
+        F.coalesce(F.sum("n") - F.sum("r"), F.lit(0)).alias("generated_records"), F.coalesce(F.sum("r"), F.lit(0)).alias("recycled_records"),
         F.grouping_id().alias("_g"),
     ).withColumn(
         "level", F.when(F.col("_g") == 0, 3).when(F.col("_g") == 1, 2).when(F.col("_g") == 3, 1).otherwise(0)

@@ -27,9 +27,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A new table path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this application has made; returns their number.
+
+    Results that were not written elsewhere cannot be read afterwards. Checkpoints are removed by Spark's cleaner where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

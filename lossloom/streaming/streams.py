@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lossloom import schemas
 from lossloom.functions import text as tx
 from lossloom.operators import vault as vt
+from lossloom.operators.health import judge_round
 from lossloom.params import DEFAULTS, Params
 from lossloom.plans.workspace import settle
 from lossloom.sources.files import read_ledger, read_vault, write_ledger, write_vault
@@ -80,16 +81,7 @@ def stream_round_health(rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             scored = [(x, -q) for q, x in near if x is not None and not pd.isna(x)]
             target = -min(scored)[1] if scored else max((q for q, _ in near), default=None)
             if loss is not None and not late:
-                if best is None or loss < best * (1.0 - p.health_min_delta):
-                    best, best_round, streak, override, action = loss, r, 0, None, "new_best"
-                elif loss > best * (1.0 + p.health_min_delta):
-                    streak, action = streak + 1, "degraded"
-                    if streak >= p.health_patience and target is not None:
-                        streak, override, action = 0, target, "rollback_next"
-                    elif streak >= p.health_patience:
-                        action = "rollback_unavailable"
-                else:
-                    streak, action = 0, "stable"
+                (best, best_round, streak, override), action = judge_round((best, best_round, streak, override), r, loss, target, p)
             if loss is not None:
                 out.append((key[0], r, loss, best, best_round, streak, override, "late" if late else action))
             last = r if last is None else max(last, r)

@@ -246,3 +246,12 @@ def test_combine_constraints_skips_blanks(spark):
         planner.combine_constraints(F.lit("")).alias("y"),
     )
     assert tuple(df.first()) == ("a\n\nb", "No extra constraints.")
+
+
+def test_scratch_tables_are_cleared(spark):
+    from lossloom.plans import workspace
+
+    path = workspace.scratch_table(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert workspace.path_exists(spark, path) and workspace.clear_scratch(spark) >= 1
+    assert not workspace.path_exists(spark, path)
