@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.llm.common import table
+from lossloom.llm.compare_sql import near_duplicates_sql, secrets_sql, similar_vectors_sql
 from lossloom.llm.license_rules import licences, licences_sql
 from lossloom.plans.workspace import scratch_table
 
@@ -124,4 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_quality": op9_weak_quality,
     "op10_hamming_minhash": op10_hamming_minhash,
 }
-ORACLES: dict[str, str] = {"op1_licence_rules": licences_sql()}
+ORACLES: dict[str, str] = {
+    "op1_licence_rules": licences_sql(),
+    "op3_secret_automaton": secrets_sql(),
+    "op5_sphere_caps": similar_vectors_sql(),
+    "op10_hamming_minhash": near_duplicates_sql(),
+}
