@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lossloom.llm import hamming_minhash, packing, secrets, spaced_seeds, weak_quality
 from lossloom.plans.workspace import scratch_table
+from lossloom.ship import ship_package
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage may be called on its own, so each sees to it that the workers know the package."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects; it learns from the stage's own documents."""
     return weak_quality.keep_good(docs, weak_quality.learn(docs))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
     return hamming_minhash.deduplicate(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a passage of the benchmark."""
     return spaced_seeds.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets replaced by their kind; no document is dropped."""
     return secrets.redact(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in packed sequences."""
     return packing.pack(docs)
