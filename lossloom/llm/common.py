@@ -50,7 +50,7 @@ def byte_column(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def byte_batches(batches, name: str, limit: int = 24_000_000):
+def byte_batches(batches, name: str, limit: int = 8_000_000):
     """Arrow batches cut so that one slice holds about ``limit`` bytes of the named column, or a single row."""
     for batch in batches:
         _, at = byte_column(batch, name)

@@ -90,7 +90,7 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in byte_batches(batches, "text", 3_000_000):
+        for batch in byte_batches(batches, "text", 1_000_000):
             sets = shingle_sets(*byte_column(batch, "text"), words)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signs = [signature(s).tobytes() if len(s) else None for s in sets]
@@ -131,7 +131,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     def similar(batches):
         import pyarrow as pa
 
-        for batch in byte_batches(batches, "text_b", 3_000_000):
+        for batch in byte_batches(batches, "text_b", 1_000_000):
             of_b = shingle_sets(*byte_column(batch, "text_b"), words)
             keep, last, of_a = [], None, None
             for row in range(batch.num_rows):
