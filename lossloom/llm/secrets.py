@@ -3,7 +3,8 @@
 All rule expressions are compiled into one minimal automaton (see ``automaton``) that reads a text's bytes once, from right
 to left, and marks every position where a match of some rule begins. Matches are then read off from left to right: at the
 leftmost mark of a rule its own anchored automaton gives the longest match, and the search goes on behind it. That gives
-the leftmost non-overlapping matches of each rule.
+the leftmost non-overlapping matches of each rule. What a rule's ``goes_on`` adds to a match does not change where matches
+begin, so only the anchored automaton knows it.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from lossloom.llm.common import byte_batches, byte_column, text_or_empty
 @dataclass(frozen=True)
 class Rule:
     """``expression`` is what a match is; ``consumes``, if given, is a wider expression whose matches use up text even if
-    they are too short to count."""
+    they are too short to count; what matches ``goes_on`` right behind a match belongs to it."""
 
     kind: str
     expression: str
     consumes: str | None = None
     either_case: bool = False
+    goes_on: str | None = None
 
 
 _VALUE = "[A-Za-z0-9+/_.=\\-]"
@@ -37,8 +39,13 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
 )
+_BREAK = "([\\x20\t\r\n\"'#>*,;|]|\\\\[nrt]?)+"  # between the lines of a key: line ends, also escaped, quotes and comment marks
+_BASE64 = "[A-Za-z0-9+/]"
+_KEY_LINES = f"{_BREAK}{_BASE64}{{16,}}({_BREAK}{_BASE64}{{16,}})*(={{1,2}}|{_BREAK}{_BASE64}{{1,15}}={{0,2}})?"
+#: All up to the END line; without one, the header fields and the base64 lines, of which the last may be short.
+_KEY_BODY = f"((-{{0,4}}[\\x00-,.-\\xff])*-----END ([A-Z]+ )*PRIVATE KEY-----|({_BREAK}[A-Za-z-]+:\\x20[\\x20-\\x7e]*)*{_KEY_LINES})"
 MORE_RULES = (
-    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", goes_on=_KEY_BODY),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]{20,}", "gh[pousr]_[A-Za-z0-9]+"),
     Rule("chat_bot", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]+"),
     Rule("web_token", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
@@ -55,7 +62,8 @@ def compiled(rules: tuple[Rule, ...]):
         walkers = []
         for r in rules:
             wide = [(r.consumes, r.either_case)] if r.consumes else []
-            walkers.append((Walker(compile_rules([(r.expression, r.either_case), *wide])), r.kind))
+            whole = f"({r.expression})({r.goes_on})?" if r.goes_on else r.expression
+            walkers.append((Walker(compile_rules([(whole, r.either_case), *wide])), r.kind))
         _COMPILED[rules] = (combined, walkers)
     return _COMPILED[rules]
 
