@@ -1,8 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences; each sentence and each line in it is normalised and looked up among known licence sentences.
-The identifiers found, in order, form the document's sequence; ordered rules, longer ones first, are matched against it and
-use up what they match. Sentences that are more than ``MAX_GAP`` apart do not belong to one rule.
+A text is cut into sentences; each sentence, each line in it and each clause are normalised and looked up among known licence
+sentences. A clause is a paragraph of wrapped lines, or what stands before or behind a colon that ends a line or introduces a
+list; list numbers are no part of it. The identifiers found, in order, form the document's sequence; ordered rules, longer
+ones first, are matched against it and use up what they match. Sentences that are more than ``MAX_GAP`` apart do not belong to one rule.
 
 Only DataFrame functions are used: the known sentences are a small fixed table, so the lookup needs no shuffle, and only
 recognised sentences are grouped.
@@ -91,6 +92,31 @@ RULES = [
     ("Proprietary", ["rights-reserved"]),
 ]
 
+#: Further forms of titles, and rules for whole licence texts with a title or a line of rights. They come before ``RULES``; the
+#: comparison SQL, which cuts sentences and lines only, does not have them.
+MORE_SENTENCES = {
+    "bsd-line": ["bsd 3 clause license", "the bsd 3 clause license", "3 clause bsd license", "the 3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "the new bsd license", "modified bsd license", "revised bsd license"],
+    "bsd2-line": ["bsd 2 clause license", "the bsd 2 clause license", "2 clause bsd license", "the 2 clause bsd license", "bsd 2 clause simplified license", "simplified bsd license", "the simplified bsd license", "freebsd license", "released under the bsd 2 clause license"],
+}
+_TEXTS = [
+    ("BSD-3-Clause", "bsd-line", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+    ("BSD-3-Clause", "bsd-line", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", "bsd2-line", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("MIT", "mit-line", ["mit-grant", "mit-notice", "as-is-software"]),
+    ("MIT", "mit-line", ["mit-grant", "mit-notice"]),
+]
+TEXT_RULES = [(name, [title, "rights-reserved", *text]) for name, title, text in _TEXTS]
+TEXT_RULES += [(name, [title, *text]) for name, title, text in _TEXTS if name != "MIT"]
+TEXT_RULES += [(name, ["rights-reserved", *text]) for k, (name, _, text) in enumerate(_TEXTS) if k != 1]  # without its title, that text is BSD-2
+ALL_RULES = TEXT_RULES + RULES
+
+#: Behind these a clause ends: a colon at the end of a line, lines without letters or digits, a line before a list number.
+_NUMBER = r"\(?(?:[0-9]{1,2}|[A-Za-z])[.)]"
+_CLAUSE_END = rf"(:[ \t\r\"'*#/-]{{0,8}}\n|\n[^A-Za-z0-9]*\n|\n(?=[ \t*#/-]{{0,16}}{_NUMBER}[ \t]))"
+#: Where a clause is cut once more: between a colon or a line end and a list number.
+_LIST = rf"(?::[ \t]{{1,8}}|\n[ \t*#/-]{{0,16}})(?={_NUMBER}(?:\s|$))"
+_LEADING = rf"^[^A-Za-z0-9(]{{0,16}}{_NUMBER}\s"
+
 
 def _pattern(sentences: list[str]) -> str:
     return "".join(f"<{s}>" for s in sentences)
@@ -98,12 +124,14 @@ def _pattern(sentences: list[str]) -> str:
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The known sentences of every row of docs (doc_id, text): row, doc_id, sentence, line, sentence_id."""
-    known = [(text, name) for name, texts in SENTENCES.items() for text in texts]
+    known = [(text, name) for table in (SENTENCES, MORE_SENTENCES) for name, texts in table.items() for text in texts]
     known = docs.sparkSession.createDataFrame(known, "normal string, sentence_id string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ended = F.regexp_replace("text", r"([.!?;])[ \t\n\r]+", "$1\u0001")
     sentences = rows.select("row", "doc_id", F.posexplode(F.split(ended, "\u0001")).alias("sentence", "body"))
-    forms = F.concat(F.array("body"), F.split("body", "\n"))
+    clauses = F.split(F.regexp_replace("body", _CLAUSE_END, "$1\u0002"), "\u0002")
+    parts = F.flatten(F.transform(clauses, lambda c: F.concat(F.array(c), F.split(c, "\n"), F.transform(F.split(c, _LIST), lambda x: F.regexp_replace(x, _LEADING, "")))))
+    forms = F.concat(F.array("body"), F.when(F.col("body").rlike("[\n:]"), F.array_distinct(parts)).otherwise(F.array()))
     normal = F.transform(forms, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9+]+", " ")))
     lines = sentences.select("row", "doc_id", "sentence", F.posexplode(F.array_distinct(normal)).alias("line", "normal"))
     return lines.join(F.broadcast(known), "normal").drop("normal")  # a fixed table of this module
@@ -125,18 +153,18 @@ def licences(docs: DataFrame) -> DataFrame:
 
     rows = rows.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.array_join(F.transform("found", sign), "").alias("sequence"))
     rest, counts = F.col("sequence"), []
-    for k, (_, sentences) in enumerate(RULES):
+    for k, (_, sentences) in enumerate(ALL_RULES):
         pattern = _pattern(sentences)
         rows = rows.withColumns({f"_n{k}": ((F.length(rest) - F.length(F.replace(rest, F.lit(pattern), F.lit("")))) / len(pattern)).cast("long"), "_rest": F.replace(rest, F.lit(pattern), F.lit("."))})
         rest = F.col("_rest")
         counts.append(F.col(f"_n{k}"))
-    names = F.array_distinct(F.array_compact(F.array(*(F.when(n > 0, F.lit(name)) for n, (name, _) in zip(counts, RULES)))))
+    names = F.array_distinct(F.array_compact(F.array(*(F.when(n > 0, F.lit(name)) for n, (name, _) in zip(counts, ALL_RULES)))))
     rows = rows.select("doc_id", F.array_join(names, ",").alias("licences"), sum(counts[1:], counts[0]).alias("n_matches"), "n_sentences", "sequence")
     return rows.where("n_matches > 0")
 
 
 def licences_sql() -> str:
-    """The same result in DuckDB's SQL."""
+    """The same result in DuckDB's SQL, for texts whose clauses are sentences or single lines."""
     known = ", ".join(f"('{text}', '{name}')" for name, texts in SENTENCES.items() for text in texts)
     steps, names, before = [], [], "seqs"
     for k, (name, sentences) in enumerate(RULES):

@@ -58,6 +58,101 @@ def test_licences_match_their_sql(spark, tmp_path):
     assert license_rules.licences(docs.limit(0)).count() == 0
 
 
+MIT_TEXT = """Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2_TEXT = """Copyright (c) 2021, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE_TEXT = """Copyright 2021 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_TEXT = """    A program that does something
+    Copyright (C) 2021  Some Body
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_wrapped_licence_texts(spark):
+    bsd3 = BSD2_TEXT + BSD_NAME + BSD_END
+    commented = lambda text, sign: "".join(f"{sign} {line}".rstrip() + "\n" for line in text.splitlines())
+    cases = [
+        (MIT_TEXT, "MIT"), ("MIT License\n\n" + MIT_TEXT, "MIT"), ("MIT License\n\n" + MIT_TEXT.replace("Body\n", "Body. All rights reserved.\n"), "MIT"),
+        (BSD2_TEXT + BSD_END, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"), ("BSD 3-Clause License\n\n" + bsd3, "BSD-3-Clause"),
+        ("BSD 2-Clause License\n\n" + BSD2_TEXT + BSD_END, "BSD-2-Clause"), ("BSD 3-Clause License", "BSD-3-Clause"),
+        (re.sub("[123][.] ", "* ", bsd3), "BSD-3-Clause"), (re.sub("([123])[.] ", r"(\1) ", bsd3), "BSD-3-Clause"), (" ".join(bsd3.split()), "BSD-3-Clause"),
+        (APACHE_TEXT, "Apache-2.0"), (GPL_TEXT, "GPL-3.0-or-later"), (GPL_TEXT.replace("version 3", "version 2"), "GPL-2.0-or-later"),
+    ]
+    cases += [(commented(text, sign), name) for text, name in ((MIT_TEXT, "MIT"), (bsd3, "BSD-3-Clause"), (APACHE_TEXT, "Apache-2.0"), (GPL_TEXT, "GPL-3.0-or-later")) for sign in ("#", " *", "//")]
+    cases += [(text.replace("\n", "\r\n"), name) for text, name in cases]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_rules.licences(docs).collect()}
+    assert {k: (got[k]["licences"], got[k]["sequence"]) if k in got else None for k, (_, name) in enumerate(cases) if k not in got or got[k]["licences"] != name} == {}
+    assert all(r["n_matches"] == 1 for r in got.values())
+    assert got[11]["sequence"] == "<apache-grant><apache-comply><apache-copy><apache-basis><apache-see>"
+
+
 # ---- benchmark passages
 
 
