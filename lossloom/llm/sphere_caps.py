@@ -4,8 +4,10 @@ Vectors are rotated by a random orthogonal matrix and split into two halves. Eac
 directions; a filter is a pair of code words, so there are c * c filter directions although only 2 * c are stored. A vector
 belongs to every filter whose direction it exceeds by the threshold; the list is decoded from the inner products of the
 halves, keeping only code words that can still reach the threshold. Filters grow in proportion to the vectors, and the
-threshold is set so that a vector has about ``per_vector`` filters in each of ``codes`` independent codes. Vectors at a
-cosine of 0.95 share about half of their filters; with 16 codes 99.9 % of such pairs share at least one.
+threshold is set so that a vector has about ``per_vector`` filters in each of ``codes`` independent codes. The threshold
+rises with the number of filters, and with it the share of pairs that a code misses, so the number of codes rises as well:
+pairs at the least cosine are drawn and their misses in one code counted, and as many codes are taken as bring the
+product of the misses below ``MISS``.
 
 Vectors of a filter are compared in double precision. A filter with many vectors is split into blocks, and each pair of
 blocks is a group of its own, so no group outgrows a task. A link is counted in the first filter that both vectors share,
@@ -24,7 +26,8 @@ from lossloom.llm.common import shuffle_parts, stage
 from lossloom.llm.graph import components
 from lossloom.llm.grouping import in_blocks, sorted_groups
 
-MIN_COS, CODES, PER_VECTOR, PER_FILTER, BLOCK = 0.95, 16, 2, 1, 1024
+MIN_COS, CODES, PER_VECTOR, PER_FILTER, BLOCK = 0.95, 16, 2, 1, 1024  # CODES is the least number
+MISS = 0.001  # the share of pairs at the least cosine that may have no filter in common
 
 
 def cap_threshold(dim: int, share: float) -> float:
@@ -40,7 +43,7 @@ class ProductCode:
 
     def __init__(self, dim: int, words: int, per_vector: float, number: int):
         self.dim, self.words = max(dim, 8), words
-        random = np.random.Generator(np.random.PCG64([dim, words, number]))
+        random = np.random.Generator(np.random.PCG64([dim, words, *((number,) if number >= 0 else (-number, 1))]))
         self.rotation = np.linalg.qr(random.standard_normal((self.dim, self.dim)))[0]
         self.half = self.dim // 2
         sides = [random.standard_normal((words, n)) for n in (self.half, self.dim - self.half)]
@@ -62,6 +65,37 @@ class ProductCode:
         return out
 
 
+def words_of(vectors: int, per_vector: float = PER_VECTOR, per_filter: float = PER_FILTER) -> int:
+    """The code words of a half for so many distinct vectors."""
+    return max(16, math.ceil(math.sqrt(vectors * per_vector / per_filter)))
+
+
+def miss_of_code(dim: int, words: int, min_cos: float = MIN_COS, per_vector: float = PER_VECTOR, pairs: int = 4000) -> float:
+    """The share of random pairs at ``min_cos`` without a common filter of one code, and twice its standard error."""
+    random = np.random.Generator(np.random.PCG64([dim, words, 97]))
+    missed, done, number = 0, 0, 0
+    at_once = max(50, min(500, 2_000_000 // words))  # the products of a batch stay below 50 MB
+    while done < pairs:
+        if done * 4 >= number * pairs:  # four codes, none of them one that is used
+            code, number = ProductCode(dim, words, per_vector, -1 - number), number + 1
+        x = random.standard_normal((at_once, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = random.standard_normal((at_once, dim))
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y *= math.sqrt(max(0.0, 1 - min_cos * min_cos)) / np.linalg.norm(y, axis=1, keepdims=True)
+        both = zip(code.filters(x), code.filters(min_cos * x + y))
+        missed += sum(not len(np.intersect1d(a, b, assume_unique=True)) for a, b in both)
+        done += at_once
+    share = missed / done
+    return share + 2 * math.sqrt(share * (1 - share) / done)
+
+
+def codes_for(dims: list[int], words: int, min_cos: float = MIN_COS, per_vector: float = PER_VECTOR, miss: float = MISS) -> int:
+    """The codes, at least CODES, with which the share ``miss`` of the pairs at ``min_cos`` has no common filter in any dimension."""
+    worst = max((miss_of_code(d, words, min_cos, per_vector) for d in dims if d > 1), default=0.0)
+    return max(CODES, math.ceil(math.log(miss) / math.log(min(0.99, worst)))) if worst > 0 else CODES
+
+
 def _decode(classes: DataFrame, words: int, codes: int, per_vector: float) -> DataFrame:
     """node, copies, vector (binary floats, or doubles where floats would lose digits) and filters of distinct vectors."""
 
@@ -147,13 +181,14 @@ def _batch(pa, rows):
 
 
 def similar_vectors(
-    vectors: DataFrame, min_cos: float = MIN_COS, codes: int = CODES, per_vector: float = PER_VECTOR, per_filter: float = PER_FILTER, block: int = BLOCK
+    vectors: DataFrame, min_cos: float = MIN_COS, codes: int | None = None, per_vector: float = PER_VECTOR, per_filter: float = PER_FILTER, block: int = BLOCK
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding).
 
     Equal vectors are one node that counts its copies. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing; vectors of different dimensions are not compared. Rows without a vec_id link with nothing
-    and are kept; rows that share a vec_id share their links. Other columns are ignored.
+    and are kept; rows that share a vec_id share their links. Other columns are ignored. Without ``codes``, as many are taken
+    as the number of distinct vectors needs (``codes_for``).
     """
     spark = vectors.sparkSession
     doubles = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -166,7 +201,10 @@ def similar_vectors(
     classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = stage(classes, "vector-classes")
 
-    words = max(16, math.ceil(math.sqrt(classes.count() * per_vector / per_filter)))
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    words = words_of(sum(sizes.values()), per_vector, per_filter)
+    if codes is None:
+        codes = codes_for([dim for dim, n in sizes.items() if n > 1], words, min_cos, per_vector)
     spread = classes.repartition(shuffle_parts(spark))
     caps = stage(_decode(spread, words, codes, per_vector), "caps")
     flat = caps.select("node", F.explode("filters").alias("filter"))

@@ -7,7 +7,7 @@ import pandas as pd
 
 from lossloom.llm.graph import components
 from lossloom.llm.hamming_minhash import CHUNKS, SYMBOLS, deduplicate, masked_keys, near_duplicates
-from lossloom.llm.sphere_caps import similar_vectors
+from lossloom.llm.sphere_caps import CODES, ProductCode, codes_for, similar_vectors, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -126,3 +126,23 @@ def test_similar_vectors(spark):
     lone = similar_vectors(frame).where("vec_id is null").collect()
     assert len(lone) == 2 and all(r["kept"] and r["n_links"] == 0 for r in lone)
     assert similar_vectors(frame.limit(0)).count() == 0
+
+
+def test_codes_grow_with_the_vectors():
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((600, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    used = []
+    for vectors in (2_000, 2_000_000):
+        words = words_of(vectors)
+        codes = codes_for([64], words)
+        used.append(codes)
+        open_ = np.arange(600)  # the pairs that no code has found
+        for k in range(codes):
+            code = ProductCode(64, words, 2, k)
+            open_ = open_[[not len(np.intersect1d(a, b)) for a, b in zip(code.filters(x[open_]), code.filters(y[open_]))]] if len(open_) else open_
+        assert len(open_) <= 3  # one in a thousand are expected at most; 16 codes leave about 1 in 100 of two million
+    assert CODES <= used[0] < used[1]
