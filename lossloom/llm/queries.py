@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.llm.common import table
-from lossloom.llm.compare_sql import near_duplicates_sql, secrets_sql, similar_vectors_sql
+from lossloom.llm.compare_sql import merkle_sql, near_duplicates_sql, prefix_trie_sql, secrets_sql, similar_vectors_sql
+from lossloom.llm.heavy_dedup import duplicate_groups, duplicate_groups_sql, fold_ascii
 from lossloom.llm.license_rules import licences, licences_sql
 from lossloom.plans.workspace import scratch_table
 
@@ -113,6 +114,30 @@ def op10_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_prefix_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    from lossloom.llm.prefix_trie import prefix_trie, rebuild
+
+    return prefix_trie(*rebuild(table(spark, sf_dir, "conversations"))).drop("turn_sha256")
+
+
+def op12_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents."""
+    return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_multiproof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, folded from leaves a fifth of which were tampered with."""
+    from lossloom.llm.merkle import build_manifest, leaf_of, prove
+
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    named = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    tampered = leaf_of([fold_ascii(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    manifest = build_manifest(table(spark, sf_dir, "documents"), columns, "source", "doc_id", {"other": F.when(named, tampered)})
+    claims = manifest.leaves.withColumn("claim", F.coalesce("other", "hash"))
+    return prove(manifest, claims, "claim").withColumnRenamed("number", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_rules": op1_licence_rules,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -124,10 +149,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_weak_quality": op9_weak_quality,
     "op10_hamming_minhash": op10_hamming_minhash,
+    "op11_prefix_collapse": op11_prefix_collapse,
+    "op12_heavy_hitters": op12_heavy_hitters,
+    "op13_merkle_multiproof": op13_merkle_multiproof,
 }
 ORACLES: dict[str, str] = {
     "op1_licence_rules": licences_sql(),
     "op3_secret_automaton": secrets_sql(),
     "op5_sphere_caps": similar_vectors_sql(),
     "op10_hamming_minhash": near_duplicates_sql(),
+    "op11_prefix_collapse": prefix_trie_sql(),
+    "op12_heavy_hitters": duplicate_groups_sql(),
+    "op13_merkle_multiproof": merkle_sql(),
 }
