@@ -5,6 +5,7 @@ def queries():
     from lossloom.catalog import (  # noqa: F401
         batch_queries,
         core_queries,
+        generation_queries,
         loop_queries,
         source_queries,
         text_queries,

@@ -93,7 +93,7 @@ def oversize_rows(batch: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def ingest_responses(
-    raw: DataFrame, items: DataFrame, counts: DataFrame | None = None, p: Params = DEFAULTS
+    raw: DataFrame, items: DataFrame, counts: DataFrame | None = None, p: Params = DEFAULTS, own_ids: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine) from raw generator output.
 
@@ -102,7 +102,7 @@ def ingest_responses(
     conformed to the known categories, which adds ``tag_match``. ``items``: ``section_id, round_id, slot_id,
     generation_index, tag`` for the requested slots. A response may be a JSON array, an object with
     ``samples`` or ``items``, or a single object; it may be fenced or surrounded by chatter. Rows
-    without a slot id take the slot at their position.
+    without a slot id take the slot at their position, and so do all rows without ``own_ids``.
     """
     keys = ["section_id", "round_id"]
     if "response_no" not in raw.columns:
@@ -142,7 +142,8 @@ def ingest_responses(
         *keys, "response_no", "row_index", "_items", "error", "_broken", "payload",
         F.schema_of_variant("_e").startswith("OBJECT").alias("_object"),
         F.when(
-            F.col("row_index").isNotNull(), F.coalesce(text("slot_id"), at["slot_id"].cast("string"))
+            F.col("row_index").isNotNull(),
+            F.coalesce(*([text("slot_id")] if own_ids else []), at["slot_id"].cast("string")),
         ).alias("_slot"),
         tx.strip(text("sample")).alias("sample"),
         tx.strip(text("instruct")).alias("instruct"),
@@ -312,7 +313,8 @@ def accept_diverse(
     ``batch``: rows with ``slot_id``, ``tag``, ``is_exploration`` and ``forced``. Slots outside the batch are rejected as
     ``slot_out_of_range``; of several rows for a slot the first by tag is judged and the others are ``duplicate_slot``. A
     judged row's verdict depends on the rows accepted before it, so each batch is folded; at most ``batch_size`` rows of it
-    are. ``round_tags`` are tags already used by recycled rows; a tag may be used ``tags_per_round`` times.
+    are. ``round_tags`` are tags already used by recycled rows, one row per use; a tag may be used ``tags_per_round`` times. A
+    row's tag counts for the section from the moment it is accepted.
     """
     keys = ["section_id", "round_id"]
     known = known_categories(counts)
@@ -341,24 +343,25 @@ def accept_diverse(
         )
     )
     if round_tags is not None:
-        used = round_tags.groupBy(*keys).agg(F.collect_set("tag").alias("_seen"))
+        used = round_tags.groupBy(*keys).agg(F.collect_list("tag").alias("_seen"))
         rows = rows.join(used, keys, "left")
     else:
         rows = rows.withColumn("_seen", F.lit(None).cast(_STRINGS))
     allowed = ", ".join(f"'{t}'" for t in fx.CONTEXTUAL_TAGS)
     banned = ", ".join(f"'{t}'" for t in fx.CONTEXTUAL_BANNED_TAGS)
+    own = "size(filter(a.added, t -> t = x.tag))"
     why = (
         "CASE WHEN NOT x.explore THEN NULL "
         f"WHEN x.forced THEN if(x.norm IN ({banned}) OR x.norm NOT IN ({allowed}), 'not_contextual', NULL) "
         f"WHEN size(filter(a.seen, t -> t = x.tag)) >= {p.tags_per_round} THEN 'tag_in_round' "
-        f"WHEN x.total + a.added > 0 AND x.n >= {p.dominant_count} "
-        f"AND x.n / (x.total + a.added) >= {p.dominant_share}D THEN 'tag_dominates_section' END"
+        f"WHEN x.total + size(a.added) > 0 AND x.n + {own} >= {p.dominant_count} "
+        f"AND (x.n + {own}) / (x.total + size(a.added)) >= {p.dominant_share}D THEN 'tag_dominates_section' END"
     )
     fold = (
         "aggregate(_rows, named_struct('seen', coalesce(_seen, CAST(array() AS array<string>)), "
-        "'added', 0L, 'out', CAST(array() AS array<struct<slot_id:int,reason:string>>)), "
+        "'added', CAST(array() AS array<string>), 'out', CAST(array() AS array<struct<slot_id:int,reason:string>>)), "
         f"(a, x) -> named_struct('seen', if(({why}) IS NULL, concat(a.seen, array(x.tag)), a.seen), "
-        f"'added', if(({why}) IS NULL AND x.cat, a.added + 1L, a.added), "
+        f"'added', if(({why}) IS NULL AND x.cat, concat(a.added, array(x.norm)), a.added), "
         f"'out', concat(a.out, array(named_struct('slot_id', x.slot_id, 'reason', {why})))), a -> a.out)"
     )
     verdicts = rows.select(*keys, F.explode(F.expr(fold)).alias("v")).select(
@@ -501,10 +504,12 @@ def generation_requests(
 ) -> DataFrame:
     """One request row per generate slot: prompt, cache key, and the cached response if there is one.
 
-    ``instructions`` may hold ``section_id, round_id, slot_id, instruct, example_block``.
+    ``instructions`` may hold ``section_id, round_id, slot_id, instruct, example_block``. Blueprints may have a column
+    ``extra_constraints``, which is put before the blueprint's own lines.
     """
     keys = ["section_id", "round_id", "slot_id"]
-    rows = pl.constraints_text(blueprints).join(render_tag_counts(counts), "section_id", "left")
+    extra = "extra_constraints" if "extra_constraints" in blueprints.columns else F.lit(None).cast("string")
+    rows = pl.constraints_text(blueprints).withColumn("constraints", pl.combine_constraints(extra, "constraints")).join(render_tag_counts(counts), "section_id", "left")
     if instructions is not None:
         rows = rows.join(instructions, keys, "left")
     for name in ("instruct", "example_block"):

@@ -77,6 +77,9 @@ class Params:
     tags_per_round: int = 1
     rare_tag_limit: int = 4
     tag_similarity: float = 0.92
+    generation_attempts: int = 2
+    tag_list_limit: int = 200
+    tag_group_limit: int = 3
 
     # generation requests
     model_id: str = "external-generator"
