@@ -17,6 +17,7 @@ from lossloom.operators import generation as gen
 from lossloom.operators import policy as po
 from lossloom.operators.ledger import tag_counts
 from lossloom.params import DEFAULTS
+from lossloom.plans.workspace import settle
 
 # --- attempts ---------------------------------------------------------------------------------
 
@@ -67,7 +68,7 @@ def _attempts(t: Tables) -> DataFrame:
         used = wanted.select("section_id", "round_id", F.lit("error").alias("tag")).distinct()
         done = t.spark.createDataFrame([], gen.ATTEMPT)
         for attempt in range(3):
-            done = done.unionByName(gen.judge_answers(wanted, done, _answers(t, attempt), known, used, attempt))
+            done = settle(done.unionByName(gen.judge_answers(wanted, done, _answers(t, attempt), known, used, attempt)))
         return done
 
     return t.once("attempts", build)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lossloom import schemas
 from lossloom.catalog import sql as q
 from lossloom.catalog.adapters import Tables, section_of
-from lossloom.catalog.core_queries import VAULT_SQL
+from lossloom.catalog.core_queries import VAULT_SQL, pressure_scores
 from lossloom.catalog.registry import register
-from lossloom.plans.loop import run_rounds
-from lossloom.plans.workspace import scratch_table
+from lossloom.operators import sums as sm
+from lossloom.plans.loop import run_generated, run_rounds
+from lossloom.plans.workspace import scratch_table, settle
 from lossloom.sources.files import read_vault, write_ledger, write_vault
 from lossloom.streaming import streams as st
 
@@ -135,3 +136,85 @@ def _loop(t: Tables) -> DataFrame:
 
 
 register("run_rounds", _loop)
+
+
+# --- state carried from round to round --------------------------------------------------------
+
+
+def _rolled(t: Tables, rows: DataFrame, schema: str, step) -> DataFrame:
+    """The new rows of a state that takes one round after the other."""
+    rows = settle(rows)
+    state, out = t.spark.createDataFrame([], schema), None
+    for k in [r[0] for r in rows.select("round_id").distinct().orderBy("round_id").collect()]:
+        state = settle(step(state, rows.where(F.col("round_id") == k)))
+        now = sm.last_round(state).where(F.col("round_id") == k)
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+def _rolled_metrics(t: Tables) -> DataFrame:
+    """Sums over the ledger added up in five parts, and what they say about tags and sections."""
+    ledger = t.ledger()
+    tags, sections = t.spark.createDataFrame([], sm.TAG_SUMS), t.spark.createDataFrame([], sm.SECTION_SUMS)
+    for k in range(5):
+        part = ledger.where(F.col("round_id") % 5 == k)
+        tags, sections = settle(sm.add_tag_sums(tags, part)), settle(sm.add_section_sums(sections, part))
+    rows = sm.counts_of(tags).withColumnRenamed("n", "records").join(sm.metrics_of(tags), ["section_id", "tag"], "left")
+    declared = sm.declared_of(tags).withColumnRenamed("n", "declared")
+    return rows.join(declared, ["section_id", "tag"], "left").join(sections.select("section_id", "last_ledger_id", "last_round"), "section_id")
+
+
+register(
+    "rolled_metrics",
+    _rolled_metrics,
+    """SELECT l.section_id, l.tag, count(*) AS records, any_value(round(m.avg_loss, 6)) AS avg_loss, any_value(m.n) AS n, any_value(m.oldest_ledger_id) AS oldest_ledger_id,
+         nullif(count(*) FILTER (WHERE coalesce(l.source, 'generated') = 'generated'), 0) AS declared, any_value(s.last) AS last_ledger_id, any_value(s.r) AS last_round
+       FROM ledger l LEFT JOIN metrics m USING (section_id, tag) JOIN (SELECT section_id, max(ledger_id) AS last, CAST(max(round_id) AS INTEGER) AS r FROM ledger GROUP BY 1) s USING (section_id) GROUP BY 1, 2""",
+)
+register(
+    "rolled_health",
+    lambda t: _rolled(t, t.round_losses().withColumn("round_id", F.col("round_id").cast("int")), sm.HEALTH_STATE, sm.health_step).where("action is not null").drop("complete", "events"),
+    "SELECT section_id, round_id, round(decision_loss, 6) AS decision_loss, round(best, 6) AS best_eval_loss, best_round AS best_round_id, "
+    "streak AS bad_round_streak, override AS base_override_round, action FROM health",
+)
+register(
+    "rolled_pressure",
+    lambda t: _rolled(t, pressure_scores(t), sm.PRESSURE_STATE, sm.pressure_step).select("section_id", "round_id", "score", "candidate", "hits", "hard_active", "cooldown_until"),
+    "SELECT section_id, round_id, round(score, 6) AS score, candidate, hits, hard_active, cooldown_until FROM pressure",
+)
+
+
+def _generate(requests: DataFrame) -> DataFrame:
+    """Every slot gets a tag of its own; batches leave slots out, and some slots are only answered the third time, or never."""
+    def one(slot):
+        text = F.concat(F.lit("sample "), slot, F.lit(" of "), "section_id", F.lit(" "), "round_id")
+        tag = F.when(slot == 1, "contextual_qa").otherwise(F.concat(F.lit("kind_"), "round_id", F.lit("_"), slot))
+        row = F.struct(slot.alias("slot_id"), text.alias("sample"), F.lit("Do it.").alias("instruct"), F.lit("done").alias("gold_summary"), tag.alias("tag"))
+        return F.to_json(row)
+
+    slots = F.filter(F.from_json("prompt", "array<struct<slot_id: int>>"), lambda s: s["slot_id"] % 3 != 0)
+    listed = F.concat(F.lit("["), F.array_join(F.transform(slots, lambda s: one(s["slot_id"])), ","), F.lit("]"))
+    silent = (F.col("slot_id") == 9) | ((F.col("slot_id") == 3) & (F.col("attempt") == 1))
+    single = F.when(silent, "no").otherwise(one(F.col("slot_id")))
+    return requests.withColumn("response", F.when(F.col("attempt") == 0, listed).otherwise(single))
+
+
+def _generated(t: Tables) -> DataFrame:
+    """A round with an outside generator: how many slots each attempt filled, and which stay open."""
+    batch = lambda df: df.withColumn("token_length", F.length("sample")).withColumn("loss", F.lit(1.0) + F.col("slot_id") / 10)
+    tables, _ = run_generated(t.spark, scratch_table(t.spark, "generated"), settle(t.examples()), batch, 1, _generate)
+    rows = tables.at("ledger", 1, schemas.LEDGER).select("section_id", "round_id", F.lit("filled").alias("what"))
+    problems = tables.at("batch_problems", 1, "section_id string, round_id int, slot_id int, reason string").where("slot_id is not null")
+    rows = rows.unionByName(problems.select("section_id", "round_id", F.concat(F.lit("open "), "reason").alias("what")))
+    for k in range(3):
+        judged = tables.at(f"attempts_{k}", 1, "section_id string, round_id int, status string")
+        rows = rows.unionByName(judged.select("section_id", "round_id", F.concat(F.lit(f"{k} "), "status").alias("what")))
+    return rows.groupBy("section_id", "round_id", "what").agg(F.count("*").alias("n"))
+
+
+register(
+    "run_generated",
+    _generated,
+    """SELECT section_id, v.round_id, v.what, v.n::BIGINT AS n FROM (SELECT DISTINCT section_id FROM examples) e, (VALUES
+         (0, 'filled', 9), (0, 'open invalid_json', 1), (0, '0 accepted', 7), (0, '0 missing', 3), (0, '1 accepted', 1), (0, '1 missing', 2), (0, '2 accepted', 1), (0, '2 missing', 1) ) v(round_id, what, n)""",
+)

@@ -37,8 +37,11 @@ def _metrics(df: DataFrame) -> DataFrame:
 def per_tag_loss(ledger: DataFrame, vault: DataFrame | None = None) -> DataFrame:
     """Loss metrics per tag over generated rows; sections without any fall back to their vault."""
     exact = _metrics(generated_only(ledger))
-    if vault is None:
-        return exact
+    return exact if vault is None else with_vault_metrics(exact, vault)
+
+
+def with_vault_metrics(exact: DataFrame, vault: DataFrame) -> DataFrame:
+    """Metrics with those of the vault for sections that have none."""
     return exact.unionByName(
         _metrics(vault).join(exact.select("section_id").distinct(), "section_id", "left_anti")
     )
@@ -266,6 +269,11 @@ def shape_gap_score(ledger: DataFrame, profiles: DataFrame, p: Params = DEFAULTS
         .groupBy("section_id", "tag")
         .agg(F.count("*").alias("n"))
     )
+    return shape_gap_of_counts(per_tag, profiles, p)
+
+
+def shape_gap_of_counts(per_tag: DataFrame, profiles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """:func:`shape_gap_score` from ``section_id, tag, n``."""
     matched = per_tag.join(profiles.select("section_id", "tag_aliases"), "section_id").groupBy(
         "section_id"
     ).agg(
@@ -477,7 +485,7 @@ def commit_recipe(
 ) -> tuple[DataFrame, DataFrame]:
     """(vault, state) after a recipe is taken: recycle counters, streak and used ids.
 
-    ``state`` holds ``section_id, current_round, consecutive_no_recycle, recycled_ids``.
+    ``state`` holds ``section_id, current_round, consecutive_no_recycle`` and may hold ``recycled_ids``.
     """
     used = recipe.groupBy("section_id").agg(
         F.array_sort(
@@ -485,19 +493,17 @@ def commit_recipe(
         ).alias("_u")
     )
     ids = F.transform("_u", lambda x: x["failure_ledger_id"])
+    columns = {
+        "consecutive_no_recycle": F.when(F.col("_u").isNull(), F.col("consecutive_no_recycle"))
+        .when(F.size("_ids") > 0, 0)
+        .otherwise(F.col("consecutive_no_recycle") + 1),
+    }
+    if "recycled_ids" in state.columns:
+        columns["recycled_ids"] = ordered_union(F.coalesce("recycled_ids", F.array().cast("array<bigint>")), F.col("_ids"))
     new_state = (
         state.join(used, "section_id", "left")
         .withColumn("_ids", F.coalesce(ids, F.array().cast("array<bigint>")))
-        .withColumns(
-            {
-                "consecutive_no_recycle": F.when(F.col("_u").isNull(), F.col("consecutive_no_recycle"))
-                .when(F.size("_ids") > 0, 0)
-                .otherwise(F.col("consecutive_no_recycle") + 1),
-                "recycled_ids": ordered_union(
-                    F.coalesce("recycled_ids", F.array().cast("array<bigint>")), F.col("_ids")
-                ),
-            }
-        )
+        .withColumns(columns)
         .drop("_u", "_ids")
     )
     return vt.mark_recycled(vault, recipe, state, p), new_state
