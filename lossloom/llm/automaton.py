@@ -218,21 +218,52 @@ def _minimal(table: np.ndarray, accept: np.ndarray, byte_class: np.ndarray, clas
     return Automaton(byte_class, (rows * classes).astype(np.int32).ravel(), masks, classes, int((masks == 0).sum()), dead[0] if dead else -1)
 
 
+PIECE = 4096  # bytes of a piece of a row; pieces are walked side by side, so a step serves all of them
+
+
 def marks(auto: Automaton, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass from right to left over all rows at once: positions where the automaton accepts, and the rules' bits.
 
-    Rows are walked in step, the longest first, so that each step moves all rows that still have bytes.
+    Rows are cut into pieces that are walked in step, so that each step moves all of them and a long text takes no more steps
+    than a short one. A piece is first walked as if a row ended at its right end. Where the piece to its right ends in another
+    state, it is walked anew from that, until both walks are in one state.
     """
-    lengths = np.diff(at)
-    order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order]
+    parts = np.maximum(1, -(-np.diff(at) // PIECE))
+    last = np.cumsum(parts) - 1  # the rightmost piece of each row
+    first = last - parts + 1
+    inside = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    left = np.repeat(at[:-1], parts) + inside * PIECE
+    right = np.minimum(left + PIECE, np.repeat(at[1:], parts))
     classes_of = auto.byte_class[raw]
-    where = at[1:][order] - 1
-    state = np.zeros(len(order), np.int32)
+    begun = np.zeros(len(left), np.int32)  # the state in which each piece was walked
+    where, bits, ended = _walk(auto, classes_of, left, right, begun)
+    true = begun.copy()
+    true[:-1] = np.where(inside[1:] > 0, ended[1:], 0)
+    todo = np.flatnonzero(true != begun)
+    while len(todo):
+        met, new_where, new_bits, after = _rewalk(auto, classes_of, left[todo], right[todo], begun[todo], true[todo])
+        limit = right.copy()
+        limit[todo] = met  # from here on to the right the new walk counts
+        piece = np.searchsorted(left, where, side="right") - 1
+        kept = where < limit[piece]
+        where, bits = np.concatenate([where[kept], new_where]), np.concatenate([bits[kept], new_bits])
+        begun[todo] = true[todo]
+        changed = (after >= 0) & (inside[todo] > 0)  # walked anew to the left end: the next piece begins otherwise
+        true[todo[changed] - 1] = after[changed]
+        todo = np.flatnonzero(true != begun)
+    order = np.argsort(where, kind="stable")
+    return where[order], bits[order]
+
+
+def _walk(auto: Automaton, classes_of: np.ndarray, left: np.ndarray, right: np.ndarray, begun: np.ndarray):
+    """Accepting places and their bits of all pieces, walked side by side from right to left, and the states at the left ends."""
+    sizes = right - left
+    order = np.argsort(-sizes, kind="stable")
+    where, state = right[order] - 1, begun[order].copy()
     bar = auto.first_accepting * auto.classes
     found, bits = [], []
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+    sizes = sizes[order]
+    active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1 if len(sizes) else 1), side="right")
     for n in active.tolist():
         here, now = where[:n], state[:n]
         now += classes_of[here]
@@ -242,11 +273,32 @@ def marks(auto: Automaton, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
             found.append(here[hit])
             bits.append(auto.accept[now[hit] // auto.classes])
         here -= 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    where, masks = np.concatenate(found), np.concatenate(bits)
-    order = np.argsort(where, kind="stable")
-    return where[order], masks[order]
+    ended = np.empty_like(state)
+    ended[order] = state
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found]), np.concatenate([none, *bits]), ended
+
+
+def _rewalk(auto: Automaton, classes_of: np.ndarray, left: np.ndarray, right: np.ndarray, old: np.ndarray, new: np.ndarray):
+    """Walk pieces from another state until both walks meet: where they met (the leftmost place walked anew), the accepting
+    places of the new walk and their bits, and its state at the left end, or -1 where the walks met before."""
+    met, after = left.copy(), np.full(len(left), -1, np.int64)
+    rows, where = np.arange(len(left)), right - 1
+    old, new = old.copy(), new.copy()
+    bar = auto.first_accepting * auto.classes
+    found, bits = [], []
+    while len(rows):
+        old, new = auto.step[old + classes_of[where]], auto.step[new + classes_of[where]]
+        hit = np.flatnonzero(new >= bar)
+        found.append(where[hit])
+        bits.append(auto.accept[new[hit] // auto.classes])
+        same, done = old == new, where == left[rows]
+        met[rows[same]] = where[same]
+        after[rows[done & ~same]] = new[done & ~same]
+        go = ~(same | done)
+        rows, where, old, new = rows[go], where[go] - 1, old[go], new[go]
+    none = np.zeros(0, np.int64)
+    return met, np.concatenate([none, *found]), np.concatenate([none, *bits]), after
 
 
 class Walker:

@@ -26,6 +26,14 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def free_name(name: str, *taken: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has, in any case of letters."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

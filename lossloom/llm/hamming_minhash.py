@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossloom.llm.common import byte_batches, byte_column, shuffle_parts, stage, text_or_empty
+from lossloom.llm.common import byte_batches, byte_column, free_name, shuffle_parts, stage, text_or_empty
 from lossloom.llm.graph import components
 from lossloom.llm.grouping import in_blocks, sorted_groups
 from lossloom.llm.shingles import mix, overlap, shingle_sets
@@ -269,20 +269,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+MOST_KEYS = 1_000_000  # dropped rows that are broadcast (16 bytes each); more are joined as Spark sees fit
+
+
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicates, with all columns of docs: that of the smallest doc_id.
 
-    Rows without a doc_id and rows without words stay. Of rows that share a doc_id one stays, that with the smallest hash of
-    its text.
+    Rows are told apart by doc_id and text, so different texts under one doc_id are different documents. Of rows that
+    repeat both, one stays. Rows without a doc_id and rows without words stay otherwise.
     """
-    doc, other = F.col("doc_id").cast("long"), F.col("_named_doc_id")
-    found = near_duplicates(docs, words, percent)
-    gone = stage(found.where("not kept").select(F.col("doc_id").alias("_named_doc_id")).distinct(), "gone")  # its size is then known
-    left = docs.join(gone, doc == other, "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    again = stage(again.select(F.col("doc_id").alias("_named_doc_id")), "repeated")
+    doc, sign, other = (free_name(n, docs) for n in ("_doc", "_sign", "_other"))
+    own, text = F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())
+    rows = docs.select(own.alias("doc_id"), text_or_empty().alias("text"), text.alias("sign"))
+    pairs = stage(rows.where("doc_id is not null").groupBy("doc_id", "sign").agg(F.count("*").alias("n")), "texts")
+    several = pairs.groupBy("doc_id").agg(F.min("sign").alias("x"), F.max("sign").alias("y")).where("x < y").select(F.col("doc_id").alias("of"))
+    several = stage(several, "several-texts")
+    # such rows get numbers of their own, 62-bit hashes below all others; usually there are none
+    number = -(F.xxhash64("doc_id", "sign").bitwiseAND((1 << 62) - 1)) - (1 << 62)
+    named = rows
+    if not several.isEmpty():
+        named = rows.join(several, F.col("doc_id") == F.col("of"), "left")
+        named = named.withColumn("doc_id", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(number)).drop("of")
+    found = near_duplicates(named.select("doc_id", "text"), words, percent).where("doc_id is not null").select("doc_id", "component_id").distinct()
+    places = pairs.join(several, F.col("doc_id") == F.col("of"), "left").select(
+        F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(number).alias("node"), F.col("doc_id").alias("own"), "sign"
+    )
+    placed = stage(places.join(found, F.col("node") == F.col("doc_id")).select("own", "sign", "component_id"), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("own", "sign")).alias("first"))
+    gone = placed.join(first, "component_id").where((F.col("own") != F.col("first.own")) | (F.col("sign") != F.col("first.sign")))
+    gone = stage(gone.select(F.col("own").alias(doc), F.col("sign").alias(sign)), "gone")
+    if gone.count() <= MOST_KEYS:
+        gone = F.broadcast(gone)
+    same = (own == F.col(doc)) & (text == F.col(sign))
+    left = docs.join(gone, same, "left_anti")
+    again = stage(pairs.where("n > 1").select(F.col("doc_id").alias(doc), F.col("sign").alias(sign)), "repeated")
     if again.isEmpty():
         return left
-    rank = Window.partitionBy(doc).orderBy(F.xxhash64(text_or_empty()), text_or_empty())
-    first = left.join(again, doc == other, "left_semi").withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
-    return left.join(again, doc == other, "left_anti").unionByName(first)
+    one = Window.partitionBy(own, text, text_or_empty()).orderBy(F.lit(0))
+    copies = left.join(again, same, "left_semi").withColumn(other, F.row_number().over(one)).where(F.col(other) == 1).drop(other)
+    return left.join(again, same, "left_anti").unionByName(copies)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossloom.llm.common import blocks, byte_batches, stage, text_or_empty
+from lossloom.llm.common import blocks, byte_batches, free_name, shuffle_parts, stage, text_or_empty
 from lossloom.llm.tokens import END_ID, default_vocabulary, encoder, texts_of
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -115,24 +115,26 @@ def plan_packs(histogram: dict[int, int], max_tokens: int) -> Plan:
     return Plan({k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in found.items()}, sequence, padded)
 
 
-def assign(pieces: DataFrame, max_tokens: int = 2048, per_bucket: int = 200_000) -> DataFrame:
+def assign(pieces: DataFrame, max_tokens: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces (any columns, among them doc_id, start and length).
 
-    Pieces of one length are numbered over salted buckets whose number follows the number of pieces, so a length that
-    holds a third of all pieces is spread too. ``pieces`` is read twice; stage it first.
+    Pieces of one length are numbered over salted buckets; a bucket holds about a quarter of a partition's share of all
+    pieces at most, so a length that holds a third of all pieces is spread too. ``pieces`` is read twice; stage it first.
     """
     spark = pieces.sparkSession
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= max_tokens rows
     plan = plan_packs(lengths, max_tokens)
-    salts = blocks(max(lengths.values(), default=0), per_bucket)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    bases = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
-    ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(bases, ["length", "_salt"])
+    total = sum(lengths.values())
+    salts = blocks(max(lengths.values(), default=0), max(1, total // (4 * shuffle_parts(spark))))
     names = [c for c in pieces.columns]
-    ranked = ranked.select(*names, (F.col("_rank") + F.col("_base")).alias("_rank"))
+    salt, rank, base = (free_name(n, pieces) for n in ("_salt", "_rank", "_base"))
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    bases = counts.select("length", salt, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy("length", salt).orderBy("doc_id", "start")
+    ranked = salted.withColumn(rank, F.row_number().over(inside) - 1).join(bases, ["length", salt])
+    ranked = ranked.select(*names, (F.col(rank) + F.col(base)).alias(rank))
     held = spark.sparkContext.broadcast(plan.blocks)  # bounded by max_tokens, whatever the number of pieces
 
     def place(batches):
@@ -141,13 +143,13 @@ def assign(pieces: DataFrame, max_tokens: int = 2048, per_bucket: int = 200_000)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+            length, place_of = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", rank))
+            sequence, offset = np.empty(len(place_of), np.int64), np.empty(len(place_of), np.int64)
             order = np.argsort(length, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
                 first, copies, base, at = held.value[int(length[rows[0]])]
-                k = np.searchsorted(first, rank[rows], side="right") - 1
-                inner = rank[rows] - first[k]
+                k = np.searchsorted(first, place_of[rows], side="right") - 1
+                inner = place_of[rows] - first[k]
                 sequence[rows] = base[k] + inner // copies[k]
                 offset[rows] = at[k] + inner % copies[k] * length[rows]
             kept = batch.select(names)

@@ -87,8 +87,7 @@ class Lexicon:
             weight = max(beginning, whole) if ended else beginning
             if weight > best.get(start, 0.0):
                 best[start] = weight
-        total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in spared))
-        return total / (n + 20), n
+        return _outside(best, spared) / (n + 20), n
 
     def score(self, text: str) -> float:
         x = self.density(text)[0]
@@ -104,6 +103,18 @@ class Lexicon:
         return Lexicon({k.encode("latin-1"): v for k, v in data["weights"].items()}, tuple(data["curve"]), tuple(data["exceptions"]))
 
 
+def _outside(best: dict[int, float], spared: list[tuple[int, int]]) -> float:
+    """Weight of the terms that begin outside all spared spans: one sweep over both, in order."""
+    total, end, k = 0.0, 0, 0
+    spared = sorted(spared)
+    for at in sorted(best):
+        while k < len(spared) and spared[k][0] <= at:
+            end, k = max(end, spared[k][1]), k + 1
+        if at >= end:
+            total += best[at]
+    return total
+
+
 def _is_word(byte: int) -> bool:
     return byte >= 128 or 97 <= byte <= 122 or 48 <= byte <= 57
 
@@ -113,19 +124,21 @@ def learn(
 ) -> Lexicon:
     """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
-    About ``max_rows`` labels, chosen by a hash of doc_id, are used; of the terms found in ``least_docs`` toxic documents with
+    About ``max_rows`` labelled doc_ids, chosen by a hash, are used, each with all its different texts (of several labels for one
+    the larger counts); of the terms found in ``least_docs`` toxic documents with
     a log-odds of ``least_weight`` the ``max_terms`` weightiest are kept. Null labels and doc_ids are left out; without both
     kinds of rows the lexicon is empty and every score is the share of toxic rows.
     """
     import pandas as pd
 
-    known = labels.where("toxic in (0, 1) and doc_id is not null")
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = stage(known, "labels")
     share = max_rows / max(1, known.count())
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
     chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # about max_rows short rows
-    rows = stage(rows, "labelled").repartition(64)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct()  # about max_rows doc_ids
+    rows = stage(rows.select("text", "toxic"), "labelled").repartition(64)
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:

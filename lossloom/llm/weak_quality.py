@@ -212,15 +212,20 @@ class Scorer:
         return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
 
 
-def fit_scorer(x: np.ndarray, good: np.ndarray, rounds: int = 2000, ridge: float = 1e-6) -> Scorer:
-    """Logistic regression on soft labels by accelerated gradient steps; buckets that no row has keep weight 0."""
+def fit_scorer(x: np.ndarray, good: np.ndarray, counts: np.ndarray | None = None, rounds: int = 2000, ridge: float = 1e-6) -> Scorer:
+    """Logistic regression on soft labels by accelerated gradient steps; buckets that no row has keep weight 0.
+
+    ``counts`` says how many rows each row stands for.
+    """
+    share = np.ones(len(x)) if counts is None else counts
+    share = (share / max(1, share.sum())).astype(np.float32)
     used = np.flatnonzero(x.any(axis=0)) if len(x) else np.zeros(0, np.int64)
     x, good = np.ascontiguousarray(x[:, used], np.float32), good.astype(np.float32)
     weights, bias = np.zeros(len(used), np.float32), 0.0
     speed, bias_speed, step = np.zeros_like(weights), 0.0, 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ (weights + 0.9 * speed) + (bias + 0.9 * bias_speed), -50, 50)))
-        error = ((good - p) / max(1, len(x))).astype(np.float32)
+        error = ((good - p) * share).astype(np.float32)
         speed = (0.9 * speed + step * (error @ x - ridge * weights)).astype(np.float32)
         bias_speed = 0.9 * bias_speed + step * float(error.sum())
         weights, bias = weights + speed, bias + bias_speed
@@ -236,7 +241,10 @@ class Quality:
 
 
 def learn(docs: DataFrame, max_rows: int = 4_000) -> Quality:
-    """Label model over all rows of docs (text) and a scorer fitted on about ``max_rows`` rows, chosen by a hash of the text."""
+    """Label model over all rows of docs (text) and a scorer fitted on about ``max_rows`` distinct texts.
+
+    These are chosen by a hash of the text and weigh as much as they have copies, so ``max_rows`` holds whatever is copied.
+    """
     texts = docs.select(text_or_empty().alias("text"))
 
     def count(batches):
@@ -252,6 +260,7 @@ def learn(docs: DataFrame, max_rows: int = 4_000) -> Quality:
     total = int(found[:, 1].sum())
 
     chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, max_rows / max(1, total)) * (1 << 30)))
+    chosen = chosen.groupBy("text").agg(F.count("*").alias("n"))  # copies are counted before the shuffle
 
     def sample(batches):
         import pyarrow as pa
@@ -260,11 +269,11 @@ def learn(docs: DataFrame, max_rows: int = 4_000) -> Quality:
             raw, at = byte_column(batch, "text")
             good = model.posterior(votes(*statistics(raw, at)))
             rows = [r.tobytes() for r in features(raw, at).astype(np.float16)]
-            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(good, pa.float64())], ["x", "good"])
+            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(good, pa.float64()), batch.column(1)], ["x", "good", "n"])
 
-    rows = chosen.mapInArrow(sample, "x binary, good double").collect()  # about max_rows rows of 2 * BUCKETS bytes
+    rows = chosen.mapInArrow(sample, "x binary, good double, n long").collect()  # about max_rows rows of 2 * BUCKETS bytes
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
-    return Quality(model, fit_scorer(x, np.array([r["good"] for r in rows])))
+    return Quality(model, fit_scorer(x, np.array([r["good"] for r in rows]), np.array([r["n"] for r in rows], float)))
 
 
 def _scored(texts: DataFrame, quality: Quality, name: str, schema: str, filtered: float | None = None) -> DataFrame:

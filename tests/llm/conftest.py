@@ -21,8 +21,8 @@ def awkward(spark):
         (10, long + " tail", "c", len(long) + 5),
         (11, "é ß 日本語 \U0001f600 Ünïcödé", "d", 10),
     ]
-    schema = "doc_id long, text string, source string, n_chars long, start long, ids string, hash long, node long, sign long"
-    return spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in rows], schema)
+    schema = "doc_id long, text string, source string, n_chars long, start long, ids string, hash long, node long, sign long, _rank long, _salt long, _doc long, _SIGN long"
+    return spark.createDataFrame([(*r, 1, "x", 2, 3, 4, 5, 6, 7, 8) for r in rows], schema)
 
 
 @pytest.fixture()

@@ -95,10 +95,24 @@ def test_chains_and_awkward_rows(spark, awkward, none):
     assert by[3] == {(3, True)} and by[8] == {(8, True)} and by[10] == {(9, False)}
     kept = deduplicate(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 11]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 8, 9, 11]
     assert near_duplicates(none).count() == 0 and deduplicate(none).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Decisions fall for rows, so a clash of ids takes no other document along."""
+    pick = random.Random(21)
+
+    def text():
+        return " ".join(pick.choices([f"w{k}" for k in range(3000)], k=40))
+
+    a, b, c, d = (text() for _ in range(4))
+    near_a = a.rsplit(" ", 1)[0] + " end"
+    rows = [(8, a), (8, b), (8, b), (5, near_a), (9, c), (12, c), (12, d), (3, ""), (3, ""), (None, a)]
+    kept = sorted(((r["doc_id"] or 0), r["text"]) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([(8, b), (5, near_a), (9, c), (12, d), (3, ""), (0, a)])
+
+
 def test_similar_vectors(spark):
     rng = np.random.default_rng(13)
     x = rng.standard_normal((600, 24))

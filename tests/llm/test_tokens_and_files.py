@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lossloom.llm.edit_counts import CountedText, apply_edits, count_trees
 from lossloom.llm.packing import assign, cut, pack, plan_packs, sequences
@@ -125,7 +126,7 @@ def test_packing(spark, awkward, none, tokenizer):
 def test_salted_ranks_and_padded_sequences(spark, tokenizer):
     docs = spark.createDataFrame([(k, "the same text here") for k in range(500)] + [(900, "other " * 30)], "doc_id long, text string")
     pieces = cut(docs, 16).cache()
-    places = assign(pieces.drop("ids"), 16, per_bucket=20)
+    places = assign(pieces.drop("ids").withColumns({"_rank": F.lit(1), "_base": F.lit(2), "_salt": F.lit(3)}), 16)
     assert places.select("sequence_id", "offset").distinct().count() == pieces.count()
     packed = sequences(pieces, places, 16).collect()
     for r in packed:
