@@ -7,6 +7,7 @@ student would see them; a sample without answer tokens has no loss.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from lossloom.functions import text as tx
 from lossloom.params import DEFAULTS, Params
-from lossloom.plans.workspace import settle
+from lossloom.plans.workspace import stage_table
 
 # A key holding more than this share of the rows is looked up by broadcast. Shares sum to one, so
 # there can be no more than 1 / HOT_SHARE such keys.
@@ -51,67 +52,75 @@ def fit_ngram(corpus: DataFrame, text: str, tokenize: Callable[[Column], Column]
         F.col("t"), lambda x, i: F.struct(F.when(i > 0, F.get("t", i - 1)).otherwise("").alias("prev"), x.alias("token"))
     )
     # Everything else follows from the bigram counts, which are far smaller than the text and written once.
-    bigrams = settle(toks.select(F.explode(pair).alias("p")).groupBy("p.prev", "p.token").agg(F.count("*").alias("n")))
-    unigrams = settle(bigrams.groupBy("token").agg(F.sum("n").alias("n")))
-    totals = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("vocab"))
-    starts = bigrams.groupBy("prev").agg(F.sum("n").alias("prev_n"))
-    joined = _lookup(bigrams, starts, ["prev"], "prev_n")
+    bigrams = stage_table(toks.select(F.explode(pair).alias("p")).groupBy("p.prev", "p.token").agg(F.count("*").alias("n")), "bigrams")
+    unigrams = stage_table(bigrams.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "unigrams")
+    starts = stage_table(bigrams.groupBy("prev").agg(F.sum("n").alias("prev_n"), F.count("*").alias("rows")), "starts")
+    joined = _lookup(bigrams, starts, ["prev"], "prev_n", starts)
     return {
-        "totals": totals,
-        "unigrams": unigrams,
-        "bigrams": settle(joined.select("prev", "token", "n", (F.col("n") / F.col("prev_n")).alias("p2"))),
+        "totals": unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("vocab")),
+        "unigrams": unigrams.select("token", "n"),
+        "bigrams": joined.select("prev", "token", "n", (F.col("n") / F.col("prev_n")).alias("p2")),
     }
 
 
-def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str, counts: DataFrame) -> DataFrame:
     """Left join on ``keys`` that keeps keys that many of the rows share out of the shuffle.
 
-    Keys that more than ``HOT_SHARE`` of the rows hold number at most 1/HOT_SHARE; their values are broadcast, present or
-    not, and the other rows are shuffled. ``rows`` is read twice; settle it first.
+    ``counts`` (``keys`` and ``rows``, how many rows hold them) must be a written table. Keys that more than ``HOT_SHARE`` of the
+    rows hold number at most 1/HOT_SHARE; their values are broadcast, present or not. Of the other rows each key's are few.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_k"))
-    total = counts.agg(F.sum("_k").alias("_all"))  # a single row
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_k") > F.col("_all") * HOT_SHARE).select(*keys)
-    hot = settle(hot.join(table.select(*keys, F.col(value).alias("_hot")), keys, "left").withColumn("_is_hot", F.lit(True)))
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    # A key already answered gets a salt, so that hot rows spread instead of meeting in one task.
-    salted = marked.withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).otherwise(-1))
-    cold = table.select(*keys, F.col(value).alias("_cold"), F.lit(-1).cast("bigint").alias("_salt"))
-    joined = salted.join(cold, [*keys, "_salt"], "left")
-    return joined.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt", "_is_hot")
-
-
-def answer_token_rows(df: DataFrame, row_id: str, p: Params = DEFAULTS, tokenize: Callable[[Column], Column] = tx.tokens) -> DataFrame:
-    """One row per answer token inside the length limit: ``row_id, pos, prev, token``."""
+    total = counts.agg(F.sum("rows")).first()[0] or 0  # a single number
+    hot = counts.where(F.col("rows") > total * HOT_SHARE).select(*keys)
+    hot = F.broadcast(hot.join(table.select(*keys, value), keys, "left"))
+    named = hot.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    marked = rows.join(F.broadcast(named), reduce(lambda x, y: x & y, same), "left").drop(*(f"_{k}" for k in keys))
+    known = marked.where("_is_hot").withColumn(value, F.col("_hot"))
+    rest = marked.where("_is_hot is null").join(table.select(*keys, value), keys, "left")
+    columns = [*rows.columns, value]
+    return known.select(columns).unionByName(rest.select(columns))
+
+
+def answer_tokens(df: DataFrame, row_id: str, p: Params = DEFAULTS, tokenize: Callable[[Column], Column] = tx.tokens) -> DataFrame:
+    """Per row the answer tokens inside the length limit and the prompt token before them: ``row_id, before, tokens``."""
     prompt = tokenize(F.lower(tx.sample_prompt("sample", "instruct")))
     answer = tokenize(F.lower(tx.strip(F.coalesce("gold_summary", F.lit("")))))
     seen = df.select(F.col(row_id).alias("row_id"), prompt.alias("_p"), answer.alias("_a"))
     room = F.greatest(F.lit(0), F.lit(p.max_length) - F.size("_p"))
+    return seen.select("row_id", F.get("_p", F.size("_p") - 1).alias("before"), F.slice("_a", F.lit(1), room).alias("tokens"))
+
+
+def answer_token_rows(answers: DataFrame) -> DataFrame:
+    """One row per answer token: ``row_id, prev, token``."""
     tokens = F.transform(
-        F.slice("_a", F.lit(1), room),
-        lambda x, i: F.struct(
-            F.when(i > 0, F.get("_a", i - 1)).otherwise(F.get("_p", F.size("_p") - 1)).alias("prev"),
-            x.alias("token"),
-        ),
+        "tokens", lambda x, i: F.struct(F.when(i > 0, F.get("tokens", i - 1)).otherwise(F.col("before")).alias("prev"), x.alias("token"))
     )
-    return seen.select("row_id", F.posexplode(tokens).alias("pos", "t")).select("row_id", "pos", "t.prev", "t.token")
+    return answers.select("row_id", F.explode(tokens).alias("t")).select("row_id", "t.prev", "t.token")
 
 
 def score_loss(
     samples: DataFrame, model: dict[str, DataFrame], row_id: str = "row_id", p: Params = DEFAULTS,
     tokenize: Callable[[Column], Column] = tx.tokens,
 ) -> DataFrame:
-    """Loss per sample under an interpolated bigram model; null when no answer token is left."""
-    totals = model["totals"]
-    rows = settle(answer_token_rows(samples, row_id, p, tokenize))
-    rows = settle(_lookup(rows, model["bigrams"], ["prev", "token"], "p2"))
-    rows = _lookup(rows, model["unigrams"].withColumnRenamed("n", "uni_n"), ["token"], "uni_n")
-    single = (F.coalesce("uni_n", F.lit(0)) + 1) / (F.col("total") + F.col("vocab") + 1)
+    """Loss per sample under an interpolated bigram model; null when no answer token is left.
+
+    The model is asked once for each pair of tokens that occurs, with how often it does. Frequent pairs are then broadcast to
+    the token rows; only the rows of the others are shuffled, once. A row's tokens stay an array until then.
+    """
+    totals = model["totals"].first()  # two numbers
+    answers = stage_table(answer_tokens(samples, row_id, p, tokenize), "answers")
+    rows = answer_token_rows(answers).withColumn("prev", F.coalesce("prev", F.lit("\0")))
+    pairs = stage_table(rows.groupBy("prev", "token").agg(F.count("*").alias("rows")), "pairs")
+    tokens = stage_table(pairs.groupBy("token").agg(F.count("*").alias("rows")), "pair-tokens")
+    seen = pairs.join(model["bigrams"].select("prev", "token", "p2"), ["prev", "token"], "left")
+    seen = _lookup(seen, model["unigrams"].withColumnRenamed("n", "uni_n"), ["token"], "uni_n", tokens)
+    single = (F.coalesce("uni_n", F.lit(0)) + 1) / F.lit((totals["total"] or 0) + totals["vocab"] + 1)
     prob = F.lit(BIGRAM_WEIGHT) * F.coalesce("p2", F.lit(0.0)) + F.lit(1 - BIGRAM_WEIGHT) * single
+    losses = stage_table(seen.select("prev", "token", "rows", (-F.log(prob)).alias("_loss")), "pair-losses")
+    told = _lookup(rows, losses, ["prev", "token"], "_loss", losses)
     scored = (
-        rows.crossJoin(F.broadcast(totals))  # a single row
-        .groupBy("row_id")
-        .agg(F.avg(-F.log(prob)).alias("loss"), F.count("*").alias("scored_tokens"))
+        told.groupBy("row_id")
+        .agg(F.avg("_loss").alias("loss"), F.count("*").alias("scored_tokens"))
         .withColumnRenamed("row_id", row_id)
     )
     return token_budget(samples, p, tokenize).join(scored, row_id, "left")

@@ -27,6 +27,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once as Parquet to the shared folder and go on from the table: compressed, and only the columns that
+    are used are read again."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _MADE: dict[str, list[str]] = {}
 
 
