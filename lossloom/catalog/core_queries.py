@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lossloom import schemas
@@ -17,6 +19,7 @@ from lossloom.operators import policy as po
 from lossloom.operators import ranking as rk
 from lossloom.operators import reports as rp
 from lossloom.operators import vault as vt
+from lossloom.params import DEFAULTS
 
 VAULT_COLS = schemas.columns(schemas.VAULT)
 VAULT_SQL = (
@@ -154,6 +157,13 @@ register(
     "LEFT JOIN (SELECT section_id, string_agg('- ' || tag || ' (' || n || ')', chr(10) ORDER BY n DESC, tag) AS categories_text "
     "FROM categories GROUP BY 1) b USING (section_id)",
 )
+register(
+    "render_frequent_tags",
+    lambda t: lg.render_tag_counts(lg.sync_tag_counts(t.state_counts(), t.ledger()), replace(DEFAULTS, prompt_tags=3)).select("section_id", "tag_counts_text"),
+    """SELECT section_id, array_to_string(list_append(list('- ' || tag || ': ' || n ORDER BY tag) FILTER (WHERE place <= 3),
+         CASE WHEN count(*) > 3 THEN '- ' || (count(*) - 3) || ' others: ' || CAST(sum(n) FILTER (WHERE place > 3) AS BIGINT) END), chr(10)) AS tag_counts_text
+       FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY n DESC, tag) AS place FROM sync_counts) GROUP BY 1""",
+)
 register(
     "loss_list",
     lambda t: lg.loss_list(t.ledger(), t.vault().where(F.col("section_id") < "section_010")),

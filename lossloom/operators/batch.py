@@ -509,7 +509,7 @@ def generation_requests(
     """
     keys = ["section_id", "round_id", "slot_id"]
     extra = "extra_constraints" if "extra_constraints" in blueprints.columns else F.lit(None).cast("string")
-    rows = pl.constraints_text(blueprints).withColumn("constraints", pl.combine_constraints(extra, "constraints")).join(render_tag_counts(counts), "section_id", "left")
+    rows = pl.constraints_text(blueprints).withColumn("constraints", pl.combine_constraints(extra, "constraints")).join(render_tag_counts(counts, p), "section_id", "left")
     if instructions is not None:
         rows = rows.join(instructions, keys, "left")
     for name in ("instruct", "example_block"):

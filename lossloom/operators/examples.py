@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lossloom import fixed_values as fx
 from lossloom.functions import text as tx
@@ -85,9 +86,38 @@ def parse_examples_json(files: DataFrame, text: str = "value", fmt: str = "auto"
     whole = parsed.where(
         (F.size("_e") > 0) & ~F.exists("_e", lambda x: x.isNull()) & ~has_template_text(text)
     )
-    return whole.select(*files.columns, F.posexplode("_e").alias("pos", "_x")).select(
-        *[c for c in files.columns if c != text], "pos", "_x.*"
-    )
+    names = [f.name for f in kept]
+    return whole.select(*names, F.posexplode("_e").alias("pos", "_x")).select(*names, "pos", "_x.*")
+
+
+_SECTIONS = ("sample", "instruction", "context", "output")
+
+
+def _blocks_of(batches):
+    """The texts of the four sections of every block of a file that has any text, from its lines: one pass over them."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in _SECTIONS]))
+    for batch in batches:
+        at = batch.schema.get_field_index("_lines")
+        found = []
+        for lines in batch.column(at).to_pylist():
+            blocks, sec, out, filled = [{}], None, False, False
+            for x in lines or ():
+                head, line = x["head"], x["line"]
+                if head in ("sample", "instruction") and out and filled:
+                    blocks.append({})
+                    out = filled = False
+                sec = head or sec
+                # An inline text counts as a line only when it is there; body lines always count.
+                if sec is not None and (head is None or line != ""):
+                    blocks[-1].setdefault(sec, []).append((line, x["blank"]))
+                    out, filled = out or sec == "output", filled or not x["blank"]
+            texts = [b for b in blocks if any(not blank for rows in b.values() for _, blank in rows)]
+            found.append([{n: "\n".join(line for line, _ in b[n]) if n in b else None for n in _SECTIONS} for b in texts])
+        columns = [c for k, c in enumerate(batch.columns) if k != at]
+        names = [n for k, n in enumerate(batch.schema.names) if k != at]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*names, "_blocks"])
 
 
 def has_template_text(text: str) -> Column:
@@ -108,60 +138,54 @@ def parse_examples_text(files: DataFrame, text: str = "value", fmt: str = "auto"
     name = lambda line: F.lower(F.regexp_extract(line, header, 1))
     section = F.create_map(*[F.lit(x) for kv in fx.EXAMPLE_HEADERS.items() for x in kv])
 
-    lines = F.transform(
+    split = F.transform(
         F.split(F.regexp_replace(tx.strip(text), _LINE_ENDS, "\n"), "\n"),
         lambda ln: F.struct(
             F.element_at(section, name(ln)).alias("head"),
             F.when(name(ln) == "", ln).otherwise(F.regexp_extract(ln, header, 2)).alias("line"),
         ),
     )
-    keep = lambda b, sec: F.when(
-        F.size(b) > 0, F.array_join(F.transform(F.filter(b, lambda x: x["sec"] == sec), lambda x: x["line"]), "\n")
-    )
-    # Fold over the lines of one file: each line learns its section and block number.
-    start = F.struct(
-        F.lit(None).cast("string").alias("sec"),
-        F.lit(0).alias("block"),
-        F.lit(False).alias("out"),
-        F.lit(False).alias("filled"),
-        F.array().cast("array<struct<block:int,sec:string,line:string>>").alias("done"),
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        opens = x["head"].isin("sample", "instruction") & a["out"] & a["filled"]
-        sec = F.coalesce(x["head"], a["sec"])
-        block = F.when(opens, a["block"] + 1).otherwise(a["block"])
-        # An inline text counts as a line only when it is there; body lines always count.
-        counts = sec.isNotNull() & (x["head"].isNull() | (x["line"] != ""))
-        row = F.struct(block.alias("block"), sec.alias("sec"), x["line"].alias("line"))
-        return F.struct(
-            sec.alias("sec"),
-            block.alias("block"),
-            (F.when(opens, F.lit(False)).otherwise(a["out"]) | (counts & (sec == "output"))).alias("out"),
-            (F.when(opens, F.lit(False)).otherwise(a["filled"]) | (counts & ~tx.is_blank(x["line"]))).alias("filled"),
-            F.when(counts, F.concat(a["done"], F.array(row))).otherwise(a["done"]).alias("done"),
-        )
-
-    folded = files.where(~has_template_text(text)).withColumn(
-        "_s", F.aggregate(lines, start, lambda a, x: step(a, x))
-    )
-    # Every line now carries its block, so the blocks are formed by filtering on the block number.
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.col("_s.block")),
-        lambda n: F.filter(F.col("_s.done"), lambda x: x["block"] == n),
-    )
-    shaped = F.transform(
-        F.filter(blocks, lambda b: F.exists(b, lambda x: ~tx.is_blank(x["line"]))),
-        lambda b: _shape_example(
-            keep(b, "sample"), keep(b, "instruction"), keep(b, "context"), keep(b, "output"), fmt, False
-        ),
-    )
+    lines = F.transform(split, lambda x: F.struct(x["head"].alias("head"), x["line"].alias("line"), tx.is_blank(x["line"]).alias("blank")))
+    kept = [f for f in files.schema if f.name != text]
+    read = files.where(~has_template_text(text)).select(*(f.name for f in kept), lines.alias("_lines"))
+    schema = T.StructType([*kept, T.StructField("_blocks", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _SECTIONS])))])
+    folded = read.mapInArrow(_blocks_of, schema)
+    shaped = F.transform("_blocks", lambda b: _shape_example(*(b[n] for n in _SECTIONS), fmt, False))
     whole = folded.withColumn("_e", shaped).where(
         (F.size("_e") > 0) & ~F.exists("_e", lambda x: x.isNull())
     )
-    return whole.select(*files.columns, F.posexplode("_e").alias("pos", "_x")).select(
-        *[c for c in files.columns if c != text], "pos", "_x.*"
-    )
+    names = [f.name for f in kept]
+    return whole.select(*names, F.posexplode("_e").alias("pos", "_x")).select(*names, "pos", "_x.*")
+
+
+_SECTIONS = ("sample", "instruction", "context", "output")
+
+
+def _blocks_of(batches):
+    """The texts of the four sections of every block of a file that has any text, from its lines: one pass over them."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in _SECTIONS]))
+    for batch in batches:
+        at = batch.schema.get_field_index("_lines")
+        found = []
+        for lines in batch.column(at).to_pylist():
+            blocks, sec, out, filled = [{}], None, False, False
+            for x in lines or ():
+                head, line = x["head"], x["line"]
+                if head in ("sample", "instruction") and out and filled:
+                    blocks.append({})
+                    out = filled = False
+                sec = head or sec
+                # An inline text counts as a line only when it is there; body lines always count.
+                if sec is not None and (head is None or line != ""):
+                    blocks[-1].setdefault(sec, []).append((line, x["blank"]))
+                    out, filled = out or sec == "output", filled or not x["blank"]
+            texts = [b for b in blocks if any(not blank for rows in b.values() for _, blank in rows)]
+            found.append([{n: "\n".join(line for line, _ in b[n]) if n in b else None for n in _SECTIONS} for b in texts])
+        columns = [c for k, c in enumerate(batch.columns) if k != at]
+        names = [n for k, n in enumerate(batch.schema.names) if k != at]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*names, "_blocks"])
 
 
 def new_examples(parsed: DataFrame, known: DataFrame) -> DataFrame:

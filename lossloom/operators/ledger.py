@@ -111,21 +111,23 @@ def known_categories(counts: DataFrame) -> DataFrame:
     )
 
 
-def render_tag_counts(counts: DataFrame) -> DataFrame:
+def render_tag_counts(counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Text blocks for prompts: raw counts by tag, and known categories by count.
 
-    One line per distinct tag of a section, the vocabulary a prompt carries anyway.
+    A prompt names the ``prompt_tags`` most frequent tags and categories of a section and sums up the others in a last line;
+    the counts themselves stay a table.
     """
     def block(df: DataFrame, order: Column, line: Column, out: str) -> DataFrame:
-        return df.groupBy("section_id").agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag", line.alias("line")))),
-                    lambda x: x["line"],
-                ),
-                "\n",
-            ).alias(out)
+        shown = top_n(df, ["section_id"], [F.col("n").desc(), F.col("tag")], p.prompt_tags, "_place")
+        lines = shown.groupBy("section_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag", line.alias("line")))), lambda x: x["line"]).alias("_lines"),
+            F.sum("n").alias("_shown"),
         )
+        totals = df.groupBy("section_id").agg(F.sum("n").alias("_n"), F.count("*").alias("_tags"))
+        more = F.col("_tags") - F.size("_lines")
+        rest = F.concat(F.lit("- "), more.cast("string"), F.lit(" others: "), (F.col("_n") - F.col("_shown")).cast("string"))
+        told = F.when(more > 0, F.concat("_lines", F.array(rest))).otherwise(F.col("_lines"))
+        return lines.join(totals, "section_id").select("section_id", F.array_join(told, "\n").alias(out))
 
     n = F.col("n").cast("string")
     raw = block(counts, F.lit(0), F.concat(F.lit("- "), "tag", F.lit(": "), n), "tag_counts_text")

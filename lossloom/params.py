@@ -79,6 +79,7 @@ class Params:
     tag_similarity: float = 0.92
     generation_attempts: int = 2
     tag_list_limit: int = 200
+    prompt_tags: int = 500
     tag_group_limit: int = 3
 
     # generation requests

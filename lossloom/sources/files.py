@@ -32,8 +32,12 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
 
 
 def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("section_id", "round_id")) -> None:
-    """Write and replace only the partitions present in ``df``: other sections and rounds stay, and a rerun changes nothing."""
-    df.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Write and replace only the partitions present in ``df``: other sections and rounds stay, and a rerun changes nothing.
+
+    Rows go to their partition's task first, and Spark parts the large ones and joins the small ones by size, so a partition
+    gets as many files as its bytes call for, however many tasks the rows come from.
+    """
+    df.hint("rebalance", *(F.col(c) for c in by)).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
