@@ -92,12 +92,78 @@ RULES = [
     ("Proprietary", ["rights-reserved"]),
 ]
 
-#: Further forms of titles, and rules for whole licence texts with a title or a line of rights. They come before ``RULES``; the
-#: comparison SQL, which cuts sentences and lines only, does not have them.
+#: Further titles, headers, heads of whole texts and families, and rules for whole licence texts with a title or a line of
+#: rights. They come before ``RULES``; the comparison SQL, which cuts sentences and lines only, does not have them.
 MORE_SENTENCES = {
     "bsd-line": ["bsd 3 clause license", "the bsd 3 clause license", "3 clause bsd license", "the 3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "the new bsd license", "modified bsd license", "revised bsd license"],
     "bsd2-line": ["bsd 2 clause license", "the bsd 2 clause license", "2 clause bsd license", "the 2 clause bsd license", "bsd 2 clause simplified license", "simplified bsd license", "the simplified bsd license", "freebsd license", "released under the bsd 2 clause license"],
+    "bsd-name": ["nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "apache-line": ["apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses", "apache license version 2 0 january 2004 https www apache org licenses", "distributed under the apache license version 2 0", "this project is licensed under the apache license 2 0", "licensed under the apache license 2 0", "apache license 2 0"],
+    "mit-line": ["this project is licensed under the mit license", "distributed under the mit license", "expat license", "the mit license expat"],
+    "gpl3-line": ["gnu general public license version 3 29 june 2007", "licensed under the gnu general public license v3 0", "this program is licensed under the gnu general public license version 3"],
+    "gpl2-line": ["gnu general public license version 2 june 1991", "spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0", "licensed under the gnu general public license v2 0"],
+    "gpl2-later-line": ["spdx license identifier gpl 2 0 or later", "spdx license identifier gpl 2 0+"],
+    "lgpl3-line": ["gnu lesser general public license version 3 29 june 2007", "spdx license identifier lgpl 3 0 only"],
+    "lgpl21-line": ["gnu lesser general public license version 2 1 february 1999", "licensed under the gnu lesser general public license version 2 1", "spdx license identifier lgpl 2 1 only", "spdx license identifier lgpl 2 1"],
+    "agpl3-line": ["gnu affero general public license version 3 19 november 2007", "spdx license identifier agpl 3 0 only"],
+    "mpl2-line": ["mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
+    "mpl2-grant": ["this source code form is subject to the terms of the mozilla public license v"],
+    "bsd2-spdx": ["spdx license identifier bsd 2 clause"],
+    "gpl-modify": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "lgpl-modify": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl-modify": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "either-2": ["either version 2 of the license or at your option any later version"],
+    "either-2-1": ["either version 2 1 of the license or at your option any later version"],
+    "either-3": ["either version 3 of the license or at your option any later version"],
+    "only-2": ["version 2 of the license", "version 2"],
+    "lgpl21-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-line": ["isc license", "the isc license", "licensed under the isc license", "released under the isc license", "spdx license identifier isc"],
+    "0bsd-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx license identifier 0bsd"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "spdx license identifier zlib"],
+    "boost-line": ["boost software license version 1 0 17 august 2003", "boost software license version 1 0 august 17th 2003", "distributed under the boost software license version 1 0", "spdx license identifier bsl 1 0"],
+    "eclipse-line": ["eclipse public license v 2 0", "eclipse public license version 2 0", "spdx license identifier epl 2 0"],
+    "cc0-line": ["cc0 1 0 universal", "spdx license identifier cc0 1 0"],
+    "ccby-line": ["spdx license identifier cc by 4 0"],
 }
+#: Sentences that name two licences: each stands for both identifiers, in this order.
+EITHER_OF = {
+    ("apache-line", "mit-line"): ["apache license version 2 0 or mit license", "licensed under either of apache license version 2 0 or mit license at your option", "licensed under the apache license version 2 0 or mit license", "licensed under the apache license version 2 0 or the mit license", "dual licensed under the apache license version 2 0 and the mit license", "spdx license identifier apache 2 0 or mit", "spdx license identifier mit or apache 2 0", "licensed under the mit license or the apache license version 2 0"],
+}
+#: Names in a sentence that may be any: they are put back to the wording of the table.
+_GAPS = [
+    (r"^neither the names? of .{1,160}? nor the names of (?:its|their|any|the) contributors may be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (r"^neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from (?:this|the) software without (?:specific )?prior written permission(?: of .{1,120})?$", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (r"^.{1,80}? is free software you can redistribute it and or modify it under the terms of", "this program is free software you can redistribute it and or modify it under the terms of"),
+    (r"^you may obtain a copy of the license at https www", "you may obtain a copy of the license at http www"),
+]
+#: A line of rights before one of these is part of its notice.
+_GRANTS = ["apache-grant", "gpl-free", "gpl2-free", "gpl-modify", "lgpl-modify", "agpl-modify", "lgpl21-free", "lgpl3-free", "agpl3-free", "mpl2-grant", "isc-grant", "0bsd-grant", "zlib-grant"]
+MORE_RULES = [
+    ("GPL-2.0-or-later", ["gpl-modify", "either-2"]),
+    ("GPL-3.0-or-later", ["gpl-modify", "either-3"]),
+    ("GPL-2.0-only", ["gpl-modify", "only-2"]),
+    ("LGPL-2.1-or-later", ["lgpl-modify", "either-2-1"]),
+    ("LGPL-3.0-or-later", ["lgpl-modify", "either-3"]),
+    ("AGPL-3.0-or-later", ["agpl-modify", "either-3"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("LGPL-2.1-only", ["lgpl21-line"]),
+    ("GPL-2.0-or-later", ["gpl2-later-line"]),
+    ("MPL-2.0", ["mpl2-grant"]),
+    ("BSD-2-Clause", ["bsd2-spdx"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-line"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-line"]),
+    ("EPL-2.0", ["eclipse-line"]),
+]
 _TEXTS = [
     ("BSD-3-Clause", "bsd-line", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-3-Clause", "bsd-line", ["bsd-grant", "bsd-source", "bsd-binary"]),
@@ -108,7 +174,7 @@ _TEXTS = [
 TEXT_RULES = [(name, [title, "rights-reserved", *text]) for name, title, text in _TEXTS]
 TEXT_RULES += [(name, [title, *text]) for name, title, text in _TEXTS if name != "MIT"]
 TEXT_RULES += [(name, ["rights-reserved", *text]) for k, (name, _, text) in enumerate(_TEXTS) if k != 1]  # without its title, that text is BSD-2
-ALL_RULES = TEXT_RULES + RULES
+ALL_RULES = TEXT_RULES + MORE_RULES + RULES
 
 #: Behind these a clause ends: a colon at the end of a line, lines without letters or digits, a line before a list number.
 _NUMBER = r"\(?(?:[0-9]{1,2}|[A-Za-z])[.)]"
@@ -124,15 +190,22 @@ def _pattern(sentences: list[str]) -> str:
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The known sentences of every row of docs (doc_id, text): row, doc_id, sentence, line, sentence_id."""
-    known = [(text, name) for table in (SENTENCES, MORE_SENTENCES) for name, texts in table.items() for text in texts]
-    known = docs.sparkSession.createDataFrame(known, "normal string, sentence_id string")
+    known = [(text, 0, name) for table in (SENTENCES, MORE_SENTENCES) for name, texts in table.items() for text in texts]
+    known += [(text, k, name) for names, texts in EITHER_OF.items() for text in texts for k, name in enumerate(names)]
+    known = docs.sparkSession.createDataFrame(sorted(set(known)), "normal string, nth int, sentence_id string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ended = F.regexp_replace("text", r"([.!?;])[ \t\n\r]+", "$1\u0001")
     sentences = rows.select("row", "doc_id", F.posexplode(F.split(ended, "\u0001")).alias("sentence", "body"))
     clauses = F.split(F.regexp_replace("body", _CLAUSE_END, "$1\u0002"), "\u0002")
     parts = F.flatten(F.transform(clauses, lambda c: F.concat(F.array(c), F.split(c, "\n"), F.transform(F.split(c, _LIST), lambda x: F.regexp_replace(x, _LEADING, "")))))
     forms = F.concat(F.array("body"), F.when(F.col("body").rlike("[\n:]"), F.array_distinct(parts)).otherwise(F.array()))
-    normal = F.transform(forms, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9+]+", " ")))
+    def plain(form):
+        out = F.trim(F.regexp_replace(F.lower(form), "[^a-z0-9+]+", " "))
+        for pattern, wording in _GAPS:
+            out = F.regexp_replace(out, pattern, wording)
+        return out
+
+    normal = F.transform(forms, plain)
     lines = sentences.select("row", "doc_id", "sentence", F.posexplode(F.array_distinct(normal)).alias("line", "normal"))
     return lines.join(F.broadcast(known), "normal").drop("normal")  # a fixed table of this module
 
@@ -144,7 +217,7 @@ def licences(docs: DataFrame) -> DataFrame:
     without a match, null and empty texts among them, have no result row; null and repeated doc_ids stay apart, as a row is
     named by its place; other columns are ignored.
     """
-    found = F.array_sort(F.collect_list(F.struct("sentence", "line", "sentence_id")))
+    found = F.array_sort(F.collect_list(F.struct("sentence", "line", "nth", "sentence_id")))
     rows = recognised(docs).groupBy("row", "doc_id").agg(found.alias("found"))
 
     def sign(x, k):
@@ -152,7 +225,7 @@ def licences(docs: DataFrame) -> DataFrame:
         return F.concat(F.when(gap, "|").otherwise(""), F.lit("<"), x["sentence_id"], F.lit(">"))
 
     rows = rows.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.array_join(F.transform("found", sign), "").alias("sequence"))
-    rest, counts = F.col("sequence"), []
+    rest, counts = F.regexp_replace("sequence", f"<rights-reserved>(?=<({'|'.join(_GRANTS)})>)", ""), []
     for k, (_, sentences) in enumerate(ALL_RULES):
         pattern = _pattern(sentences)
         rows = rows.withColumns({f"_n{k}": ((F.length(rest) - F.length(F.replace(rest, F.lit(pattern), F.lit("")))) / len(pattern)).cast("long"), "_rest": F.replace(rest, F.lit(pattern), F.lit("."))})

@@ -153,6 +153,79 @@ def test_wrapped_licence_texts(spark):
     assert got[11]["sequence"] == "<apache-grant><apache-comply><apache-copy><apache-basis><apache-see>"
 
 
+LGPL_HEADER = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY."""
+GPL_HEADER = """    {name} is free software{sep} you can redistribute it and/or modify
+    it under the terms of the GNU {kind}General Public License as published by
+    the Free Software Foundation{sep2} either version {n} of the License, or
+    (at your option) any later version.
+
+    {name} is distributed in the hope that it will be useful,"""
+ISC_TEXT = """ISC License
+
+Copyright (c) 2020, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_notices_as_they_are_written(spark):
+    gpl = GPL_HEADER.format
+    notices = [
+        (BSD2_TEXT + BSD_NAME.replace("the copyright holder", "Example Inc.") + BSD_END, "BSD-3-Clause"),
+        (BSD2_TEXT + BSD_NAME.replace("the copyright holder", "Example Foundation, the University of Somewhere,") + BSD_END, "BSD-3-Clause"),
+        (BSD2_TEXT + BSD_NAME.replace("the name of the copyright holder", "the names of the authors") + BSD_END, "BSD-3-Clause"),
+        (BSD2_TEXT + BSD_END, "BSD-2-Clause"),
+        (MIT_TEXT, "MIT"),
+        ("The MIT License (MIT)\n\n" + MIT_TEXT, "MIT"),
+        ("# Copyright 2019 Some Body. All Rights Reserved.\n#\n# " + APACHE_TEXT.split("\n\n", 1)[1].replace("\n", "\n# "), "Apache-2.0"),
+        (APACHE_TEXT, "Apache-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        ("/* " + LGPL_HEADER + " */", "LGPL-2.1-or-later"),
+        (gpl(name="This program", sep=":", sep2=",", kind="", n=3), "GPL-3.0-or-later"),
+        (gpl(name="Frobnicator", sep=":", sep2=",", kind="", n=3), "GPL-3.0-or-later"),
+        (gpl(name="This program", sep=";", sep2=";", kind="", n=2), "GPL-2.0-or-later"),
+        (gpl(name="This program", sep=";", sep2=";", kind="", n=3), "GPL-3.0-or-later"),
+        (gpl(name="This library", sep=":", sep2=",", kind="Lesser ", n=3), "LGPL-3.0-or-later"),
+        (gpl(name="This program", sep=":", sep2=",", kind="Affero ", n=3), "AGPL-3.0-or-later"),
+        (ISC_TEXT, "ISC"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n", "0BSD"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish.", "Unlicense"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", "GPL-3.0-only"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989", "GPL-2.0-only"),
+        ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n", "LGPL-2.1-only"),
+        ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n", "AGPL-3.0-only"),
+        ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"),
+        ("// SPDX-License-Identifier: GPL-2.0-only\n", "GPL-2.0-only"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+        ("# SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        ("# SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+        ("# SPDX-License-Identifier: ISC", "ISC"),
+        ("# SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"),
+        ("Apache License, Version 2.0 or MIT license", "Apache-2.0,MIT"),
+        ("Distributed under the Boost Software License, Version 1.0.\n", "BSL-1.0"),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin", "Zlib"),
+        ("Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM", "EPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("Copyright 2020 Example Inc. All rights reserved.", "Proprietary"),
+        ("No licence is named here. It is a text about licences, gpl and mit.", None),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(notices)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licences"] for r in license_rules.licences(docs).collect()}
+    assert {k: (found.get(k), want) for k, (_, want) in enumerate(notices) if found.get(k) != want} == {}
+
+
 # ---- benchmark passages
 
 
