@@ -1,14 +1,19 @@
 """Token counts that follow edits.
 
-Every document keeps a segment tree over runs of pre-tokens: leaves are stretches of text cut behind white space, with
-their lengths and token counts; inner nodes hold sums. An edit finds its leaves by descending on lengths; only those leaves,
-with the boundary leaf that holds the character behind the edit, are cut and encoded anew, and the sums above them are
-updated. As leaves end behind white space, which the tokenizer drops, the total is that of the whole edited text.
+Every document keeps a segment tree over runs of pre-tokens: leaves are stretches of text cut behind white space or behind a
+digit, with their lengths and token counts; inner nodes hold sums. An edit finds its leaves by descending on lengths; only
+those leaves, with the boundary leaf that holds the character behind the edit, are cut and encoded anew, and the sums above
+them are updated. The tokenizer drops white space and makes every digit a pre-token, whatever follows, so the total is that
+of the whole edited text. A stretch without either, as a long run of letters, is one pre-token and stays one leaf.
+
+A place of the tree holds a few leaves: what an edit makes beyond the places it had goes into the first of them. Only when a
+place holds more than about the square root of all leaves is the tree laid out anew.
 """
 
 from __future__ import annotations
 
 import re
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,11 +23,11 @@ from lossloom.llm.common import byte_batches, text_or_empty
 from lossloom.llm.tokens import default_vocabulary, encoder
 
 LEAF_CHARS = 400
-_CUT = re.compile(r"[ \t\n\r\x0b\x0c](?![ \t\n\r\x0b\x0c])")
+_CUT = re.compile(r"[ \t\n\r\x0b\x0c](?![ \t\n\r\x0b\x0c])|[0-9]")
 
 
 def cut_leaves(text: str, chars: int) -> list[str]:
-    """Stretches of at least ``chars`` characters (the last may be shorter), each but the last ending behind white space."""
+    """Stretches of at least ``chars`` characters (the last may be shorter), each but the last ending behind white space or a digit."""
     out, at = [], 0
     while at < len(text):
         found = _CUT.search(text, at + chars - 1) if at + chars < len(text) else None
@@ -33,13 +38,15 @@ def cut_leaves(text: str, chars: int) -> list[str]:
 
 
 class SegmentTree:
-    """Leaves of one document with sums of lengths and tokens; node 1 is the root, leaves begin at ``size``."""
+    """Leaves of one document with sums of lengths and tokens; node 1 is the root, places begin at ``size``."""
 
     def __init__(self, leaves: list[str], tokens: list[int]):
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
-        self.leaves = leaves + [""] * (self.size - len(leaves))
-        self.chars = [0] * self.size + [len(x) for x in self.leaves]
-        self.tokens = [0] * self.size + tokens + [0] * (self.size - len(tokens))
+        self.most = max(32, 2 * isqrt(len(leaves)))  # leaves that a place may hold
+        rest = self.size - len(leaves)
+        self.places = [[x] for x in zip(leaves, tokens)] + [[] for _ in range(rest)]
+        self.chars = [0] * self.size + [len(x) for x in leaves] + [0] * rest
+        self.tokens = [0] * self.size + list(tokens) + [0] * rest
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
@@ -47,8 +54,11 @@ class SegmentTree:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
         self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
 
-    def find(self, at: int) -> tuple[int, int]:
-        """Leaf that holds the character ``at``, and the place in it; the last filled leaf and its end beyond the text."""
+    def all(self) -> list[tuple[str, int]]:
+        return [leaf for place in self.places for leaf in place]
+
+    def find(self, at: int) -> tuple[int, int, int]:
+        """Place, leaf in it and character in that for the character ``at``; the last leaf and its end beyond the text."""
         beyond = at >= self.chars[1]
         at = max(0, self.chars[1] - 1) if beyond else at
         node = 1
@@ -57,20 +67,28 @@ class SegmentTree:
             if at >= self.chars[node]:
                 at -= self.chars[node]
                 node += 1
-        leaf = node - self.size
-        return (leaf, len(self.leaves[leaf])) if beyond else (leaf, at)
-
-    def replace(self, first: int, last: int, parts: list[str], tokens: list[int]) -> None:
-        """Put new leaves in the places first..last (at most as many) and update the sums above them."""
+        place, k = node - self.size, 0
+        leaves = self.places[place]
+        while k + 1 < len(leaves) and at >= len(leaves[k][0]):
+            at -= len(leaves[k][0])
+            k += 1
+        return place, k, len(leaves[k][0]) if beyond and leaves else at
+
+    def replace(self, first: int, last: int, leaves: list[tuple[str, int]]) -> bool:
+        """Put leaves in the places first..last, one in each and what is over in the first, and update the sums above them.
+        False if a place holds too many now."""
+        over = max(0, len(leaves) - (last - first))
         parents = set()
         for k in range(first, last + 1):
-            part, n = (parts[k - first], tokens[k - first]) if k - first < len(parts) else ("", 0)
-            self.leaves[k], self.chars[self.size + k], self.tokens[self.size + k] = part, len(part), n
+            self.places[k] = leaves[:over] if k == first else leaves[over + k - first - 1 : over + k - first]
+            self.chars[self.size + k] = sum(len(x) for x, _ in self.places[k])
+            self.tokens[self.size + k] = sum(n for _, n in self.places[k])
             parents.add((self.size + k) // 2)
         while parents and 0 not in parents:
             for node in parents:
                 self._sum(node)
             parents = {node // 2 for node in parents}
+        return over <= self.most
 
 
 class CountedText:
@@ -92,32 +110,26 @@ class CountedText:
 
     def state(self) -> tuple[list[int], list[int]]:
         """Lengths and tokens of the leaves in use, from which the tree is put together again."""
-        used = [k for k in range(self.tree.size) if self.tree.leaves[k]]
-        return [len(self.tree.leaves[k]) for k in used], [self.tree.tokens[self.tree.size + k] for k in used]
+        used = self.tree.all()
+        return [len(x) for x, _ in used], [n for _, n in used]
 
     def text(self) -> str:
-        return "".join(self.tree.leaves)
+        return "".join(x for x, _ in self.tree.all())
 
     def edit(self, at: int, remove: int, insert: str) -> None:
         """Remove characters and insert text at a place; places beyond the text count as its end."""
         tree = self.tree
         at = min(max(0, at), tree.chars[1])
         remove = min(max(0, remove), tree.chars[1] - at)
-        first, inside = tree.find(at)
-        last, behind = tree.find(at + remove)
-        if at == tree.chars[1] and not remove and not tree.leaves[first]:
-            inside = behind = 0
-        region = tree.leaves[first][:inside] + insert + tree.leaves[last][behind:]
+        first, i, inside = tree.find(at)
+        last, j, behind = tree.find(at + remove)
+        left, right = tree.places[first], tree.places[last]
+        region = (left[i][0][:inside] if left else "") + insert + (right[j][0][behind:] if right else "")
         parts = cut_leaves(region, self.leaf_chars)
-        tokens = [self.count(x) for x in parts]
         self.encoded += len(region)
-        if len(parts) <= last - first + 1:
-            tree.replace(first, last, parts, tokens)
-        else:  # more leaves than places: the tree is put together anew, but only the region was encoded
-            leaves = tree.leaves[:first] + parts + tree.leaves[last + 1 :]
-            counts = tree.tokens[tree.size : tree.size + first] + tokens + tree.tokens[tree.size + last + 1 :]
-            kept = [k for k, leaf in enumerate(leaves) if leaf]
-            self.tree = SegmentTree([leaves[k] for k in kept], [counts[k] for k in kept])
+        if not tree.replace(first, last, left[:i] + [(x, self.count(x)) for x in parts] + right[j + 1 :]):
+            leaves = tree.all()  # laid out anew; nothing is encoded for that
+            self.tree = SegmentTree([x for x, _ in leaves], [n for _, n in leaves])
 
 
 def _counter(vocabulary: str):
