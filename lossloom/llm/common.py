@@ -68,3 +68,16 @@ def byte_batches(batches, name: str, limit: int = 8_000_000):
             end = min(max(end, row + 1), batch.num_rows)
             yield batch.slice(row, end - row)
             row = end
+
+
+def give_back() -> None:
+    """Return memory that is free but still held to the system, as a Python worker waits for its next task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossloom.llm.common import blocks, byte_batches, free_name, shuffle_parts, stage, text_or_empty
+from lossloom.llm.common import blocks, byte_batches, free_name, give_back, shuffle_parts, stage, text_or_empty
 from lossloom.llm.tokens import END_ID, default_vocabulary, encoder, texts_of
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -35,7 +35,7 @@ def cut(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None = None)
         import pyarrow as pa
 
         encode, end, size = encoder(vocabulary).ids, END_ID.to_bytes(4, "little"), 4 * max_tokens
-        for batch in byte_batches(batches, "text"):
+        for batch in byte_batches(batches, "text", 2_000_000):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
                 ids = encode(text) + end
@@ -46,6 +46,7 @@ def cut(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None = None)
             types = [pa.int64()] * 4 + [pa.binary()]
             names = ["doc_id", "start", "length", "doc_tokens", "ids"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(pieces, PIECES)

@@ -1,5 +1,13 @@
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+from test_neighbours import plain_components
+
 import corpus_pipeline
+from lossloom.llm import weak_quality
 from lossloom.llm.queries import ORACLES, QUERIES
+from lossloom.llm.secrets import RULES
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +35,64 @@ def test_run(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert packed.count() > 0
+
+
+def plain_words(text):
+    return [w for w in re.sub(r"[!-/:-@\[-`{-~]", "", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).translate({k: " " for k in range(9, 14)}).split(" ") if w]
+
+
+def holds_passage(words, items, least=12, percent=80):
+    """Every item against every place of a text: a run of at least ``least`` words, or a whole shorter item, mostly equal."""
+    words = np.array(words, dtype=object)
+    for item in items:
+        n = len(item)
+        known = np.array(item, dtype=object)
+        for diagonal in range(-n + 1, len(words)):
+            a, b = max(0, diagonal), min(len(words), diagonal + n)
+            if b - a < min(least, n):
+                continue
+            equal = words[a:b] == known[a - diagonal : b - diagonal]
+            if equal.sum() * 100 < percent * min(least, n):
+                continue
+            if n < least:
+                return True
+            sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+            if any((sums[k + least :] >= sums[k]).any() for k in range(len(sums) - least)):
+                return True
+    return False
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    """Which rows each stage keeps, by plain Python over the stage's own input."""
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    rows = [{r["doc_id"]: r["text"] for r in docs.collect()}]
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, SF).write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        if name == "quality":
+            scored = weak_quality.score(before, weak_quality.learn(before))
+            kept[name] = {r["doc_id"] for r in scored.where("score >= 0.5").collect()}
+            labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            told = [(d in kept[name]) == bool(q) for d, q in labels.items() if d in rows[0]]
+            assert sum(told) > 0.9 * len(told)
+        if name != "packing":
+            rows.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    first, second, third, fourth, last = rows
+    assert set(second) == kept["quality"]
+    components = plain_components(sorted(second.items()), 5)
+    assert set(third) == {d for d, (_, c) in components.items() if c == d}
+    items = [plain_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert set(fourth) == {d for d, t in third.items() if not holds_passage(plain_words(t), [i for i in items if i])}
+    assert set(last) == set(fourth)
+    changed = 0
+    for d, text in last.items():
+        for rule in RULES:
+            assert not re.search(rule.expression.encode(), (text or "").encode(), re.I if rule.either_case else 0) or rule.kind == "assign"
+        changed += text != fourth[d]
+    assert 0 < changed < len(last)
+    pieces = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
+    assert {r["doc_id"] for r in pieces} == set(last) and all(r["n"] == r["all"] for r in pieces)
+    full = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    total = sum(r["n"] for r in full)
+    assert max(r["n"] for r in full) <= 2048 and len(full) <= total / 2048 * 1.05 + 1

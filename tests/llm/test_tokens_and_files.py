@@ -151,6 +151,17 @@ def test_counts_follow_edits(tokenizer):
             tree = CountedText(text, count, tree.leaf_chars, tree.state())
 
 
+def test_leaves_without_blanks(tokenizer):
+    count = encoder(default_vocabulary()).ids
+    tree = CountedText("a1b2c3d4e5" * 5000, lambda t: len(count(t.encode())) // 4)
+    tree.edit(20_000, 1, "x")
+    assert tree.encoded < 2000 and tree.n_tokens == len(tokenizer.encode(tree.text(), add_special_tokens=False).ids)
+    pick = random.Random(19)
+    for _ in range(600):  # more leaves than places, again and again
+        tree.edit(pick.choice([7, pick.randrange(50_000)]), 0, "some more words to be put in here, " * 20)
+    assert tree.n_tokens == len(tokenizer.encode(tree.text(), add_special_tokens=False).ids)
+
+
 def test_edits_of_a_table(spark, awkward, none, tokenizer):
     edits = spark.createDataFrame(
         [(1, 2, 0, 4, "Those "), (1, 1, 3, 0, "X"), (7, 1, None, None, None), (8, 1, 1 << 40, 5, " end"), (9, 1, 100_000, 3, "new"), (None, 1, 0, 1, "y"), (77, 1, 0, 1, "z")],
