@@ -91,6 +91,34 @@ register(
 )
 
 
+def _ordered_health(t: Tables) -> DataFrame:
+    """Rounds that arrive up to two days late and out of order; a last one of a section of its own moves the watermark on."""
+    source = scratch_table(t.spark, "shuffled-rounds")
+    day = F.col("round_id").cast("int")
+    rows = t.round_losses().select("section_id", day.alias("round_id"), "decision_loss", "complete", F.timestamp_seconds((day + 1000) * 86400).alias("ts"))
+    rows = settle(rows.withColumn("day", day + F.pmod(F.crc32(F.concat("section_id", day).cast("binary")), F.lit(3))))
+    for k in [r[0] for r in rows.select(F.floor(F.col("day") / 4).alias("k")).distinct().orderBy("k").collect()]:
+        rows.where(F.floor(F.col("day") / 4) == k).drop("day").coalesce(1).write.mode("append").parquet(source)
+    t.spark.range(1).select(
+        F.lit("the last").alias("section_id"), F.lit(0).alias("round_id"), F.lit(1.0).alias("decision_loss"), F.lit(True).alias("complete"), F.timestamp_seconds(F.lit(86400 * 1400)).alias("ts")
+    ).write.mode("append").parquet(source)
+    arriving = t.spark.readStream.schema(schemas.ROUND_LOSS + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    name, before = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set(name, st.ROCKS)
+    try:
+        return _finish(st.stream_ordered_health(arriving), t).where("section_id <> 'the last'")
+    finally:
+        t.spark.conf.set(name, before)
+
+
+register(
+    "stream_ordered_health",
+    _ordered_health,
+    "SELECT section_id, round_id, round(decision_loss, 6) AS decision_loss, round(best, 6) AS best_eval_loss, best_round AS best_round_id, "
+    "streak AS bad_round_streak, override AS base_override_round, action FROM health",
+)
+
+
 def _vault(t: Tables) -> DataFrame:
     """The last round of every section arrives in two micro-batches; the snapshot before it is three rounds older."""
     source, ledger, vault = (scratch_table(t.spark, n) for n in ("source", "ledger", "vault"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -94,6 +95,70 @@ def stream_round_health(rounds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return rounds.groupBy("section_id").applyInPandasWithState(judge, _HEALTH, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_JUDGED = "best double, best_round int, streak int, override int"
+_PAST = "round_id int, loss double, complete boolean"
+
+
+class _OrderedHealth(StatefulProcessor):
+    """Holds a section's rounds until the watermark has passed them, then judges them in order."""
+
+    def __init__(self, p: Params):
+        self.p = p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.judged = handle.getValueState("judged", _JUDGED)
+        self.past = handle.getListState("past", _PAST)  # rounds that a later one may go back to
+        self.waiting = handle.getMapState("waiting", "round_id int", "loss double, complete boolean, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                due = int(r.due)
+                loss = None if pd.isna(r.decision_loss) else float(r.decision_loss)
+                self.waiting.updateValue((int(r.round_id),), (loss, bool(r.complete), due))
+                self.handle.registerTimer(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        ready = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator() if v[2] <= now)
+        state = tuple(self.judged.get()) if self.judged.exists() else (None, None, 0, None)
+        past, out, p = [tuple(x) for x in self.past.get()], [], self.p
+        for r, loss, complete in ready:
+            near = [(q, x) for q, x, c in past if c and r - p.rollback_lookback <= q < r]
+            scored = [(x, -q) for q, x in near if x is not None]
+            target = -min(scored)[1] if scored else max((q for q, _ in near), default=None)
+            if loss is not None:
+                state, action = judge_round(state, r, loss, target, p)
+                out.append((key[0], r, loss, *state, action))
+            past = [x for x in [*past, (r, loss, complete)] if x[0] >= r - p.rollback_lookback]
+            self.waiting.removeKey((r,))
+        if ready:
+            self.judged.update(state)
+            self.past.put(past)
+        if out:
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _HEALTH.split(", ")])
+            yield frame.astype({"base_override_round": "Int32", "best_round_id": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ordered_health(rounds: DataFrame, time: str = "ts", delay: str = "3 days", p: Params = DEFAULTS) -> DataFrame:
+    """Health action per scored round, in order, from rounds that may arrive in any order within ``delay``.
+
+    ``rounds``: ``section_id, round_id, decision_loss, complete`` and an event time that grows with the round. A round waits in
+    the state until the watermark passes its time; a timer then judges what waits, by round. So the result is that of
+    ``round_health`` over the whole, and no round is only marked late. Rounds behind the watermark are dropped. The query
+    needs the state store ``ROCKS``.
+    """
+    due = (F.unix_millis(F.col(time))).alias("due")
+    rows = rounds.withWatermark(time, delay).select("section_id", "round_id", "decision_loss", "complete", time, due)
+    return rows.groupBy("section_id").transformWithStateInPandas(_OrderedHealth(p), _HEALTH, "append", "EventTime")
+
+
 def stream_vault(ledger_rows: DataFrame, ledger_path: str, vault_path: str, checkpoint: str, p: Params = DEFAULTS):
     """Keep ledger and vault tables up to date from a stream of ledger rows.
 
