@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+_NUMBERS = -(1 << 62)
 MOST_KEYS = 1_000_000  # dropped rows that are broadcast (16 bytes each); more are joined as Spark sees fit
 
 
@@ -285,7 +286,7 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     several = pairs.groupBy("doc_id").agg(F.min("sign").alias("x"), F.max("sign").alias("y")).where("x < y").select(F.col("doc_id").alias("of"))
     several = stage(several, "several-texts")
     # such rows get numbers of their own, 62-bit hashes below all others; usually there are none
-    number = -(F.xxhash64("doc_id", "sign").bitwiseAND((1 << 62) - 1)) - (1 << 62)
+    number = -(F.xxhash64("doc_id", "sign").bitwiseAND((1 << 62) - 1)) + _NUMBERS
     named = rows
     if not several.isEmpty():
         named = rows.join(several, F.col("doc_id") == F.col("of"), "left")
@@ -295,8 +296,13 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(number).alias("node"), F.col("doc_id").alias("own"), "sign"
     )
     placed = stage(places.join(found, F.col("node") == F.col("doc_id")).select("own", "sign", "component_id"), "placed")
-    first = placed.groupBy("component_id").agg(F.min(F.struct("own", "sign")).alias("first"))
-    gone = placed.join(first, "component_id").where((F.col("own") != F.col("first.own")) | (F.col("sign") != F.col("first.sign")))
+    # a component without such a number is named by the doc_id that stays; only in the others it has to be looked for
+    gone = placed.where((F.col("component_id") > _NUMBERS) & (F.col("own") != F.col("component_id"))).select("own", "sign")
+    if not several.isEmpty():
+        mixed = placed.where(F.col("component_id") <= _NUMBERS)
+        first = mixed.groupBy("component_id").agg(F.min(F.struct("own", "sign")).alias("first"))
+        other_rows = mixed.join(first, "component_id").where((F.col("own") != F.col("first.own")) | (F.col("sign") != F.col("first.sign")))
+        gone = gone.union(other_rows.select("own", "sign"))
     gone = stage(gone.select(F.col("own").alias(doc), F.col("sign").alias(sign)), "gone")
     if gone.count() <= MOST_KEYS:
         gone = F.broadcast(gone)
