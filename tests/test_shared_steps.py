@@ -2,7 +2,12 @@
 
 import json
 
-from lossloom.operators import examples
+from pyspark.sql import functions as F
+
+from lossloom.functions import shape
+from lossloom.functions import text as tx
+from lossloom.operators import examples, reports, score
+from lossloom.plans import workspace
 
 
 def test_example_json_files(spark, tmp_path):
@@ -27,3 +32,41 @@ def test_example_json_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(texts["list"])
     read = fl.read_examples_json(spark, f"{tmp_path}/*.json").select("pos", "sample", "output", "instruct", "context", "mode")
     assert sorted(tuple(r) for r in read.collect()) == [(0, *plain), (1, *contextual)]
+
+
+def test_white_space_in_one_pass(spark):
+    odd = ["", " ", "a", " a b ", " a\x0b\x1cb ", "x\n\ny\r\n", "\x85", "é  ü", "a\U0001F600 ", None, " ".join(["w"] * 44), "\t" + "\x1f ".join(["w"] * 45), "w " * 46]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, s string")
+    old = F.regexp_replace("s", rf"\A{tx.SPACE}+|{tx.SPACE}+\z", "")
+    squeezed = tx.squeeze(F.coalesce("s", F.lit("")))
+    split = F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " "))
+    for r in df.select("*", tx.strip("s").alias("a"), old.alias("b"), tx.tokens("s").alias("c"), split.alias("d"), tx.has_words("s", 45).alias("e"), (tx.word_count("s") >= 45).alias("f")).collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), r
+
+
+def test_classified_records_are_read_once(spark):
+    rows = [(k, f"s{k % 3}", t, float(k)) for k, t in enumerate(["Classify and rank the table", "Why is it so?", "Context: a. Which fact?", "plain words", "image prompt with logo"] * 6)]
+    df = spark.createDataFrame(rows, "record_id long, section_id string, instruct string, loss double")
+    once = shape.shaped_records(df, "record_id", "section_id", "loss")
+    assert once.columns == ["record_id", "section_id", "loss", "shape_id", "evidence"]
+    assert "instruct" not in once._jdf.queryExecution().toString()
+    asked = dict(pos="record_id", source="x")
+    names = ["section_id", "shape_id", "record_count", "confidence", "evidence", "focus_tag"]
+    profile = lambda f, **more: sorted(map(tuple, shape.shape_profile(f, "section_id", **asked, **more).select(*names).collect()))
+    assert profile(once, classified=True) == profile(df)
+    weak = lambda f, **more: sorted(map(tuple, reports.validation_weakness(f, **more).select("section_id", "rank", "shape_id", "avg_loss", "n").collect()))
+    assert weak(once, classified=True) == weak(df)
+
+
+def test_rows_of_one_split_are_dealt(spark):
+    df = spark.range(0, 1000, 1, 1)
+    dealt = workspace.deal(df)
+    assert dealt.rdd.getNumPartitions() > 1 and sorted(r.id for r in dealt.collect()) == list(range(1000))
+
+
+def test_pairs_of_tokens(spark):
+    corpus = spark.createDataFrame([("a b  A",), (" ",), (None,), ("b",)], "text string")
+    got = {(r.prev, r.token): (r.n, r.p2) for r in score.fit_ngram(corpus, "text")["bigrams"].collect()}
+    assert got == {("", "a"): (1, 0.5), ("", "b"): (1, 0.5), ("a", "b"): (1, 1.0), ("b", "a"): (1, 1.0)}
+    answers = spark.createDataFrame([(1, "p", ["x", "y"]), (2, None, []), (3, None, ["z"]), (4, "q", None)], "row_id int, before string, tokens array<string>")
+    assert sorted(map(tuple, score.answer_token_rows(answers).collect()), key=str) == [(1, "p", "x"), (1, "x", "y"), (3, None, "z")]
