@@ -70,3 +70,13 @@ def test_pairs_of_tokens(spark):
     assert got == {("", "a"): (1, 0.5), ("", "b"): (1, 0.5), ("a", "b"): (1, 1.0), ("b", "a"): (1, 1.0)}
     answers = spark.createDataFrame([(1, "p", ["x", "y"]), (2, None, []), (3, None, ["z"]), (4, "q", None)], "row_id int, before string, tokens array<string>")
     assert sorted(map(tuple, score.answer_token_rows(answers).collect()), key=str) == [(1, "p", "x"), (1, "x", "y"), (3, None, "z")]
+
+
+def test_scores_from_counts_and_from_shares(spark):
+    corpus = spark.createDataFrame([("a b a c",), ("b a d",), ("a b",)], "text string")
+    model = score.fit_ngram(corpus, "text")
+    plain = {k: model[k] for k in ("totals", "unigrams", "bigrams")}
+    rows = [(1, "", "a", "a b x"), (2, "a", "b", "a c a"), (3, "", "q", None), (None, "", "a", "b"), (2, "", "z", "a")]
+    samples = spark.createDataFrame(rows, "row_id int, sample string, instruct string, gold_summary string")
+    got = [sorted(((r.row_id, r.gold_summary, r.token_length, r.loss and round(r.loss, 9), r.scored_tokens) for r in score.score_loss(samples, m).collect()), key=str) for m in (model, plain)]
+    assert got[0] == got[1] and len(got[0]) == 5 and sum(r[3] is not None for r in got[0]) == 3
