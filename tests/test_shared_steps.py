@@ -80,3 +80,15 @@ def test_scores_from_counts_and_from_shares(spark):
     samples = spark.createDataFrame(rows, "row_id int, sample string, instruct string, gold_summary string")
     got = [sorted(((r.row_id, r.gold_summary, r.token_length, r.loss and round(r.loss, 9), r.scored_tokens) for r in score.score_loss(samples, m).collect()), key=str) for m in (model, plain)]
     assert got[0] == got[1] and len(got[0]) == 5 and sum(r[3] is not None for r in got[0]) == 3
+
+
+def test_keys_looked_up_by_broadcast(spark):
+    long = "y" * 65
+    counts = spark.range(3000).selectExpr("concat('x', id) AS prev", "2L AS rows").unionByName(
+        spark.createDataFrame([(long, 2), (long + "z", 2000), (None, 1)], "prev string, rows long"))
+    hot = {r.prev for r in score.hot_keys(counts, ["prev"]).collect()}
+    assert hot == {f"x{k}" for k in range(3000)} | {long + "z"}  # of 8,003 rows a short key needs one, a long one five
+    rows = spark.createDataFrame([("x1", 1), ("x1", 2), (long, 3), (long + "z", 4), (None, 5), ("new", 6)], "prev string, i int")
+    table = counts.where("prev <> 'x1'").withColumnRenamed("rows", "value")
+    got = sorted((r.i, r.prev, r.value) for r in score._lookup(rows, table, ["prev"], "value", counts).collect())
+    assert got == [(1, "x1", None), (2, "x1", None), (3, long, 2), (4, long + "z", 2000), (5, None, None), (6, "new", None)]
