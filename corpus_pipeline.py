@@ -8,16 +8,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from lossloom.llm import hamming_minhash, packing, secrets, spaced_seeds, weak_quality
+from lossloom.llm.common import small_batches
 from lossloom.plans.workspace import scratch_table
 from lossloom.ship import ship_package
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """A stage may be called on its own, so each sees to it that the workers know the package."""
+    """A stage may be called on its own, so each sees to it that the workers know the package and get small batches."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        small_batches(spark)
         return function(spark, docs, sf_dir)
 
     return run_stage

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_neighbours import plain_components
 
 import corpus_pipeline
-from lossloom.llm import weak_quality
+from lossloom.llm import common, weak_quality
 from lossloom.llm.queries import ORACLES, QUERIES
 from lossloom.llm.secrets import RULES
 
@@ -100,3 +100,37 @@ def test_stages_against_plain_versions(spark, tmp_path):
     full = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     total = sum(r["n"] for r in full)
     assert max(r["n"] for r in full) <= 2048 and len(full) <= total / 2048 * 1.05 + 1
+
+
+def test_stages_get_small_batches(spark, tmp_path):
+    """Long texts don't come to Python 10,000 rows at a time; a size that the session sets itself stays."""
+    docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words ', 2000)").alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "n"])
+
+    docs.write.parquet(path := f"{tmp_path}/docs")
+    for own in (None, "64m"):
+        session = spark.newSession()
+        if own:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+        out = corpus_pipeline.secret_scan(session, session.read.parquet(path), SF)
+        rows = out.mapInArrow(sizes, "bytes long, n long").collect()
+        assert sum(r["n"] for r in rows) == 400
+        read = session.read.parquet(path).mapInArrow(sizes, "bytes long, n long").collect()
+        assert (max(r["bytes"] for r in read) < 3_000_000) == (own is None)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batches = [pa.record_batch([pa.array(["ab", None, "c" * 50])], ["text"])] * 2
+    cut = common.byte_batches(iter(batches), "text", 10)
+    assert sum(next(cut).num_rows for _ in range(4)) == 6 and not given
+    assert next(cut, None) is None and len(given) == 1
+    assert list(common.byte_batches(iter(()), "text")) == [] and len(given) == 2
